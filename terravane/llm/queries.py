@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, url_filter
+from . import line_dedup, mixing, quality_rules, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", x["n_lines"].alias("n_lines"), x["n_chunks"].alias("n_chunks"), x["n_removed_lines"].alias("n_removed_lines"), F.sha2(x["text"].cast("binary"), 256).alias("text_sha256"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = quality_rules.judge(docs, carry=["doc_id", "lang"])
+    fields = [*quality_rules.BASE_FIELDS, "base_failed", "kept", "log_ppl"]
+    return out.select("doc_id", *(F.col(f"__tv_rules.{c}").alias(c) for c in fields))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return out.select("page_id", *(F.col(f"__tv_url.{c}").alias(c) for c in ("host", "path", "rule", "verdict", "reason")))
@@ -44,6 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
+    "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
     "op10_mixing": op10_mixing,
 }
