@@ -164,6 +164,13 @@ def _discounts(n: dict[int, int]) -> list[float]:
     return [0.0, *(min(max(x, 0.05), 0.95 * i) for i, x in enumerate(d, 1))]
 
 
+def _sorted_arrays(table: DataFrame) -> list[np.ndarray]:
+    """The columns of a folded table, sorted by the first; goes by Arrow, without row objects."""
+    cols = [c.to_numpy() for c in table.toArrow().columns]
+    order = np.argsort(cols[0])
+    return [cols[0][order].astype(np.uint32), *(c[order] for c in cols[1:])]
+
+
 def train(texts: DataFrame) -> dict[str, np.ndarray]:
     """Sorted hash arrays: gram{n}/num{n} and ctx{n}/inv{n}/gam{n} for n = 1..ORDER."""
     level = stash(count_ngrams(texts), "ngrams")
@@ -172,12 +179,12 @@ def train(texts: DataFrame) -> dict[str, np.ndarray]:
         few = {r[0]: r[1] for r in level.where("c <= 4").groupBy("c").count().collect()}
         d = _discounts(few)
         cut = F.when(F.col("c") == 1, d[1]).when(F.col("c") == 2, d[2]).otherwise(d[3])
-        grams = level.groupBy(fold(F.col("key"), FOLD[n]).alias("h")).agg(F.sum(F.col("c") - cut).cast("float").alias("num")).orderBy("h").toPandas()
+        grams = level.groupBy(fold(F.col("key"), FOLD[n]).alias("h")).agg(F.sum(F.col("c") - cut).cast("float").alias("num"))
         ctx = F.shiftright("key", CODE_BITS)
         where = fold(ctx, FOLD[n - 1]) if n > 1 else F.lit(0)
-        ctxs = level.groupBy(where.alias("h")).agg(F.sum("c").cast("double").alias("total"), F.sum(cut).alias("left")).orderBy("h").toPandas()
-        model |= {f"gram{n}": grams["h"].to_numpy(np.uint32), f"num{n}": grams["num"].to_numpy(np.float32)}
-        model |= {f"ctx{n}": ctxs["h"].to_numpy(np.uint32), f"inv{n}": (1 / ctxs["total"]).to_numpy(np.float32), f"gam{n}": (ctxs["left"] / ctxs["total"]).to_numpy(np.float32)}
+        ctxs = level.groupBy(where.alias("h")).agg(F.sum("c").cast("double").alias("total"), F.sum(cut).alias("left"))
+        model[f"gram{n}"], model[f"num{n}"] = _sorted_arrays(grams)
+        model[f"ctx{n}"], model[f"inv{n}"], model[f"gam{n}"] = _sorted_arrays(ctxs.select("h", (1 / F.col("total")).cast("float"), (F.col("left") / F.col("total")).cast("float")))
         if n > 1:
             level = level.groupBy(F.col("key").bitwiseAND(F.lit((1 << CODE_BITS * (n - 1)) - 1)).alias("key")).agg(F.count("*").alias("c"))
             if n == ORDER:
