@@ -11,7 +11,7 @@ fixed random order, so bands keep their collision probability on short texts.
    registers, the collision-corrected Jaccard estimate, and last the exact test
    on the full shingle sets of the texts.
 3. Only where a bucket still holds several components are the members outside
-   its first component compared with the rest, through the same three steps.
+   its first component compared with the rest, register by register in tiles.
 
 With ``BANDS`` bands of ``ROWS`` registers a pair at similarity 0.75 meets in no
 band with probability 2e-5.
@@ -31,18 +31,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, mix, partitions, slices, span_hashes, stash, text_buffers, word_bounds
+from .common import append_columns, lower_ascii, mix, partitions, slices, span_hashes, stash, text_buffers, word_bounds
 from .components import connected_components
 
 SHINGLE = 5
 ROWS, BANDS = 5, 40
-REGISTERS = ROWS * BANDS
+REGISTERS = 512
 MANTISSA = 10
 #: Differing sketch bits (of 128) up to which a pair is estimated: 0.75 differs in 16 +- 3.7.
 SKETCH_BITS = 36
 #: Standard errors by which an estimate may fall short of the threshold.
-ESTIMATE_SLACK = 4.5
+ESTIMATE_SLACK = 4.0
 MEMBERS = 256
+TILE = 512
+#: Sets up to this size are compared exactly inside a bucket and signed with replicas.
+SHORT, REPLICAS = 342, 16
+#: Sets from this size fill the sketch's registers themselves.
+SKETCHED = 1000
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int = SHINGLE) -> list[np.ndarray]:
@@ -84,13 +89,14 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     least = least.reshape(-1, REGISTERS)
     full = least != np.iinfo(np.uint64).max
     out, done = least.copy(), full.copy()
+    r, c = np.nonzero(~done)
     for order in _donors:
-        r, c = np.nonzero(~done)
         if not len(r):
             break
         ok = full[r, order[c]]
         out[r[ok], c[ok]] = least[r[ok], order[c[ok]]]
         done[r[ok], c[ok]] = True
+        r, c = r[~ok], c[~ok]
     for r in np.flatnonzero(~done.all(1)):  # a handful of shingles: the next full bucket around the circle
         have = np.flatnonzero(full[r])
         miss = np.flatnonzero(~done[r])
@@ -113,8 +119,34 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(((a == b).mean(1) - chance) / (1 - chance), 0, 1)
 
 
+def band_hashes(regs: np.ndarray, tag: int) -> np.ndarray:
+    wide = regs[:, : BANDS * ROWS].astype(np.uint64).reshape(len(regs), BANDS, ROWS)
+    h = np.tile(np.arange(tag, tag + BANDS, dtype=np.uint64) + np.uint64(1), (len(regs), 1))
+    for r in range(ROWS):
+        h = mix(h + wide[:, :, r])
+    return h
+
+
+def sign(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Bands (2 * BANDS a row, 0 where there is none) and registers (0 for short texts) of each set.
+
+    Short sets are entered ``REPLICAS`` times under different hashes, or a few
+    shingles would decide all registers.  Sets of sizes that can be similar to
+    both kinds get the bands of both.
+    """
+    n = np.array([len(s) for s in sets])
+    bands, regs = np.zeros((len(sets), 2 * BANDS), np.uint64), np.zeros((len(sets), REGISTERS), np.uint16)
+    if len(few := np.flatnonzero((n > 0) & (n <= SHORT))):
+        twist = mix(np.arange(REPLICAS, dtype=np.uint64) + np.uint64(1))[:, None]
+        bands[few, :BANDS] = band_hashes(registers([mix(sets[i][None, :] ^ twist).ravel() for i in few]), 0)
+    if len(many := np.flatnonzero(n > 0.75 * SHORT)):
+        regs[many] = registers([sets[i] for i in many])
+        bands[many, BANDS:] = band_hashes(regs[many], BANDS)
+    return bands, regs
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, k1, k2, bands, s1, s2, regs): set size, set fingerprint, band hashes, sketch, registers."""
+    """(id, n, k1, k2, bands, s1, s2): set size, set fingerprint, band hashes, sketch of long texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,48 +157,129 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 n = np.array([len(s) for s in sets], np.int64)
                 some = np.flatnonzero(n)
                 k = np.zeros((2, j - i), np.int64)
-                bands = np.zeros((j - i, BANDS), np.int64)
-                sketch = np.zeros((j - i, 2), np.int64)
-                regs = np.zeros((j - i, REGISTERS), np.uint16)
                 if len(some):
-                    full = [sets[x] for x in some]
-                    flat, ends = np.concatenate(full), np.cumsum(n[some])[:-1]
-                    at = np.concatenate([[0], ends])
+                    flat = np.concatenate([sets[x] for x in some])
+                    at = np.concatenate([[0], np.cumsum(n[some])[:-1]])
                     k[0, some] = np.add.reduceat(mix(flat + np.uint64(1)), at).view(np.int64)
                     k[1, some] = np.add.reduceat(mix(flat + np.uint64(2)), at).view(np.int64)
-                    got = registers(full)
-                    regs[some] = got
-                    wide = got.astype(np.uint64).reshape(len(some), BANDS, ROWS)
-                    h = np.tile(np.arange(BANDS, dtype=np.uint64) + np.uint64(1), (len(some), 1))
-                    for r in range(ROWS):
-                        h = mix(h + wide[:, :, r])
-                    bands[some] = h.view(np.int64)
-                    bits = (mix(got[:, :128].astype(np.uint64) + (np.arange(128, dtype=np.uint64) << np.uint64(16))) >> np.uint64(7)).astype(np.uint8) & 1
-                    sketch[some] = np.packbits(bits, axis=1).view(np.int64)
-                raw = pa.array([x.tobytes() for x in regs], pa.binary())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-                cols = [ids.slice(i, j - i), pa.array(n), pa.array(k[0]), pa.array(k[1]), lists, pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy()), raw]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "k1", "k2", "bands", "s1", "s2", "regs"])
+                bands, regs = sign(sets)
+                bits = (mix(regs[:, :128].astype(np.uint64) + (np.arange(128, dtype=np.uint64) << np.uint64(16))) >> np.uint64(7)).astype(np.uint8) & 1
+                sketch = np.packbits(bits, axis=1).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * 2 * BANDS, 2 * BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))
+                cols = [ids.slice(i, j - i), pa.array(n), pa.array(k[0]), pa.array(k[1]), lists, pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy())]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "k1", "k2", "bands", "s1", "s2"])
 
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return plain.mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>, s1 long, s2 long, regs binary")
+    return plain.mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>, s1 long, s2 long")
+
+
+def _signed(texts: DataFrame) -> DataFrame:
+    """(id, text) with n, bands, registers of all but short texts and the set of all but long ones, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off, _ = text_buffers(batch.column(1))
+            size, band, reg, own = [], [], [], []
+            for i, j in slices(off):
+                sets = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                bands, regs = sign(sets)
+                size += [len(s) for s in sets]
+                band += [x.tobytes() for x in bands]
+                reg += [x.tobytes() if len(s) > 0.75 * SHORT else b"" for x, s in zip(regs, sets, strict=True)]
+                own += [s.tobytes() if len(s) <= SHORT else b"" for s in sets]
+            yield append_columns(batch, n=pa.array(size, pa.int64()), band=pa.array(band, pa.binary()), reg=pa.array(reg, pa.binary()), own=pa.array(own, pa.binary()))
+
+    return texts.mapInArrow(run, "id long, text string, n long, band binary, reg binary, own binary").where("n > 0")
+
+
+def _least_estimate(percent: int, n: np.ndarray | int) -> np.ndarray:
+    """The threshold less the slack; a set of n fills about REGISTERS * (1 - exp(-n / REGISTERS)) registers itself."""
+    t, full = percent / 100, REGISTERS * (1 - np.exp(-np.asarray(n) / REGISTERS))
+    return t - ESTIMATE_SLACK * (t * (1 - t) / full) ** 0.5
 
 
-def _estimated(pairs: DataFrame, regs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose estimate reaches the threshold less the slack."""
-    t = percent / 100
-    least = t - ESTIMATE_SLACK * (t * (1 - t) / REGISTERS) ** 0.5
+def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) but those whose estimate misses the threshold by more than the slack; short texts all pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ra, rb = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
-            yield b.select([0, 1]).filter(pa.array(estimate(ra, rb) >= least))
+            ra, rb = b.column(2).to_pylist(), b.column(3).to_pylist()
+            keep = np.ones(len(ra), bool)
+            if len(at := np.array([i for i, (x, y) in enumerate(zip(ra, rb, strict=True)) if x and y], np.int64)):
+                x, y = (np.frombuffer(b"".join(r[i] for i in at), np.uint16).reshape(-1, REGISTERS) for r in (ra, rb))
+                keep[at] = estimate(x, y) >= _least_estimate(percent, b.column(4).to_numpy()[at])
+            yield b.select([0, 1]).filter(pa.array(keep))
+
+    end = lambda e: nodes.select(F.col("id").alias(e), F.col("reg").alias(f"r{e}"), F.col("n").alias(f"n{e}"))
+    both = pairs.join(end("a"), "a").join(end("b"), "b")
+    return both.select("a", "b", "ra", "rb", F.least("na", "nb").alias("n")).mapInArrow(run, "a long, b long")
+
+
+def _strays(inside: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and pass the estimate.
+
+    ``inside`` has (h, j, lead, id, c): bucket, band, the bucket's first component,
+    member and its component.  Members outside the first component meet all of
+    other components.  A bucket is dealt out as tiles of at most ``TILE`` members
+    by ``TILE`` strays; registers are compared inside a tile, and a pair is
+    reported in the first band that it shares only.  Two short texts are compared
+    exactly right there.
+    """
+    spark = inside.sparkSession
+    sizes = inside.groupBy("h").agg(F.ceil(F.count("*") / TILE).alias("ms"), F.ceil(F.sum((F.col("c") != F.col("lead")).cast("int")) / TILE).alias("ss"))
+    sized = inside.join(sizes, "h")
+    spread = lambda n: F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    members = sized.select("h", "j", own("ms").alias("x"), F.explode(spread("ss")).alias("y"), F.lit(1).alias("role"), "lead", "id", "c")
+    strays = sized.where("c <> lead").select("h", "j", F.explode(spread("ms")).alias("x"), own("ss").alias("y"), F.lit(0).alias("role"), "lead", "id", "c")
+    work = members.unionByName(strays).join(nodes.select("id", "n", "band", "reg", "own"), "id").select("h", "j", "x", "y", "role", "lead", "id", "c", "n", "band", "reg", "own")
+    work = work.repartition(partitions(spark), "h", "x", "y").sortWithinPartitions("h", "x", "y", "role")
+
+    def compared(rows: list[tuple]) -> np.ndarray:
+        j, role, lead, ids, c, n = (np.array([r[k] for r in rows], np.int64) for k in (1, 4, 5, 6, 7, 8))
+        bands = np.frombuffer(b"".join(r[9] for r in rows), np.uint64).reshape(len(rows), -1)
+        regs = np.zeros((len(rows), REGISTERS), np.uint16)
+        for i in np.flatnonzero(n > 0.75 * SHORT):
+            regs[i] = np.frombuffer(rows[i][10], np.uint16)
+        sets = [np.frombuffer(r[11], np.uint64) for r in rows]
+        found = []
+        m = np.flatnonzero(role == 1)
+        for s in np.flatnonzero(role == 0):
+            o = m[(c[m] != c[s]) & ((c[m] == lead[s]) | (ids[m] < ids[s])) & (100 * np.minimum(n[m], n[s]) >= percent * np.maximum(n[m], n[s]))]
+            if len(o):
+                o = o[((bands[o] == bands[s]) & (bands[o] != 0)).argmax(1) == j[s]]
+            exact = o[n[o] <= SHORT] if n[s] <= SHORT else o[:0]
+            if len(exact):
+                every = np.concatenate([sets[i] for i in exact])
+                at = np.searchsorted(sets[s], every)
+                hit = sets[s][np.minimum(at, len(sets[s]) - 1)] == every
+                common = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(n[exact])[:-1]]))
+                exact = exact[100 * common >= percent * (n[exact] + n[s] - common)]
+            rough = o[n[o] > SHORT] if n[s] <= SHORT else o
+            if len(rough):
+                rough = rough[estimate(regs[rough], regs[s]) >= _least_estimate(percent, np.minimum(n[rough], n[s]))]
+            found += [(min(ids[s], i), max(ids[s], i)) for i in (*ids[exact], *ids[rough])]
+        return np.array(found, np.int64).reshape(-1, 2)
 
-    both = pairs.join(regs.select(F.col("id").alias("a"), F.col("regs").alias("ra")), "a").join(regs.select(F.col("id").alias("b"), F.col("regs").alias("rb")), "b")
-    return both.select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
 
+        def done() -> pa.RecordBatch:
+            made = compared(rows) if rows else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy())], names=["a", "b"])
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key := (r[0], r[2], r[3])) != now:
+                    yield done()
+                    now, rows = key, []
+                rows.append(r)
+        yield done()
+
+    return work.mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that hold 100 * intersection >= percent * union on full sets.
 
     ``a`` is shipped once for every ``MEMBERS`` of its partners, each ``b`` once a
@@ -177,8 +290,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
     heads = counts.select("a", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("id"))
     members = pairs.join(counts, "a").select("a", salt.alias("salt"), F.lit(1).alias("role"), F.col("b").alias("id"))
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    work = heads.unionByName(members).join(texts, "id").select("a", "salt", "role", "id", "text")
+    work = heads.unionByName(members).join(nodes.select("id", "text"), "id").select("a", "salt", "role", "id", "text")
     work = work.repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,38 +317,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_shingles, component_id) for every row of ``docs``."""
     sig = stash(signatures(docs, id_col, text_col), "minhash")
     linked = sig.where("n > 0 and id is not null")
-    reps = stash(
-        linked.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("regs").alias("regs")), "minhash-sets"
-    )
-    # classes of one id meet in its node; edges keep ids of equal sets together
-    regs = reps.select("id", "regs")
-    close = lambda x, y: F.bit_count(F.col(f"{x}.s1").bitwiseXOR(F.col(f"{y}.s1"))) + F.bit_count(F.col(f"{x}.s2").bitwiseXOR(F.col(f"{y}.s2"))) <= SKETCH_BITS
-    member = reps.select(F.explode("bands").alias("h"), F.struct("id", "s1", "s2").alias("m"))
-    ends = member.groupBy("h").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).where("lo.id < hi.id")
-    ends = stash(ends, "minhash-buckets")
-    star = member.join(ends, "h")
-    near = [star.where(close("m", e) & (F.col("m.id") != F.col(f"{e}.id"))).select(F.col("m.id").alias("x"), F.col(f"{e}.id").alias("y")) for e in ("lo", "hi")]
-    ordered = lambda df: df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    tested = stash(_estimated(ordered(near[0].unionByName(near[1])), regs, percent), "minhash-pairs")
-    links = stash(_verified(tested, docs, id_col, text_col, percent), "minhash-links")
-    first = stash(connected_components(links), "minhash-components").select(F.col("node").alias("id"), "component")
-
-    labelled = reps.drop("regs").join(first, "id", "left").select(F.explode("bands").alias("h"), F.struct(F.coalesce("component", "id").alias("c"), "id", "s1", "s2").alias("m"))
-    mixed = labelled.join(ends.select("h"), "h").groupBy("h").agg(F.min("m.c").alias("c"), F.max("m.c").alias("top")).where("c < top").select("h", "c")
-    mixed = stash(mixed, "minhash-mixed")
-    inside = stash(labelled.join(mixed, "h"), "minhash-mixed-members")
-    stray = inside.where(F.col("m.c") != F.col("c")).select("h", F.col("m").alias("s"))
-    met = stray.join(inside, "h").where((F.col("m.c") != F.col("s.c")) & ((F.col("m.c") == F.col("c")) | (F.col("m.id") < F.col("s.id"))) & close("m", "s"))
-    more = ordered(met.select(F.col("m.id").alias("x"), F.col("s.id").alias("y"))).join(tested, ["a", "b"], "left_anti")
-    more = stash(_estimated(more, regs, percent), "minhash-more-pairs")
+    # classes that share an id are one node; their rows stay apart here and meet in the graph
+    reps = stash(linked.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2")), "minhash-sets")
+    member = reps.select("id", F.posexplode("bands").alias("j", "h")).where("h <> 0")
+    ends = stash(member.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"), "minhash-buckets")
+    star = stash(member.join(ends, "h").select("h", "j", "id", "lo", "hi"), "minhash-members")
+    ordered = lambda x, y: star.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    pairs = ordered("id", "lo").unionByName(ordered("id", "hi")).distinct()
+    sketch = lambda end: reps.select(F.col("id").alias(end), F.struct("n", "s1", "s2").alias(f"s{end}"))
+    apart = F.bit_count(F.col("sa.s1").bitwiseXOR(F.col("sb.s1"))) + F.bit_count(F.col("sa.s2").bitwiseXOR(F.col("sb.s2")))
+    low, high = F.least("sa.n", "sb.n"), F.greatest("sa.n", "sb.n")
+    fits = (low * 100 >= high * percent) & ((low < SKETCHED) | (apart <= SKETCH_BITS))
+    pairs = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(fits).select("a", "b").distinct()
+
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    nodes = stash(_signed(texts.join(star.select("id").distinct(), "id", "left_semi")), "minhash-nodes")
+    tested = stash(_estimated(pairs, nodes, percent).distinct(), "minhash-pairs")
+    links = stash(_verified(tested, nodes, percent), "minhash-links")
+    first = stash(connected_components(links), "minhash-components").select(F.col("node").alias("id"), F.col("component").alias("c"))
+
+    labelled = star.join(first, "id", "left").select("h", "j", "id", F.coalesce("c", "id").alias("c"))
+    mixed = stash(labelled.groupBy("h").agg(F.min("c").alias("lead"), F.max("c").alias("top")).where("lead < top").select("h", "lead"), "minhash-mixed")
+    more = _strays(stash(labelled.join(mixed, "h"), "minhash-mixed-members"), nodes, percent)
+    more = stash(more.join(tested, ["a", "b"], "left_anti"), "minhash-more-pairs")
     if more.limit(1).count():
-        links = links.unionByName(stash(_verified(more, docs, id_col, text_col, percent), "minhash-more-links"))
-        first = stash(connected_components(links), "minhash-components").select(F.col("node").alias("id"), "component")
+        links = links.unionByName(stash(_verified(more, nodes, percent), "minhash-more-links"))
+        first = stash(connected_components(links), "minhash-components").select(F.col("node").alias("id"), F.col("component").alias("c"))
 
-    sets = reps.select("k1", "k2", "id").join(first, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
+    sets = reps.select("k1", "k2", "id").join(first, "id", "left").select("k1", "k2", F.coalesce("c", "id").alias("component_id"))
     light = sig.select("id", "n", "k1", "k2")
     single = light.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
-    return light.where("n > 0 and id is not null").join(sets, ["k1", "k2"]).select("id", "n", F.col("component").alias("component_id")).unionByName(single).withColumnRenamed("n", "n_shingles")
+    return light.where("n > 0 and id is not null").join(sets, ["k1", "k2"]).select("id", "n", "component_id").unionByName(single).withColumnRenamed("n", "n_shingles")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
