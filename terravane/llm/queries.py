@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash, mixing, quality_rules, url_filter
+from . import langid, line_dedup, minhash, mixing, quality_mil, quality_rules, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,31 @@ URL_RULES = [
 ]
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    learn = docs.where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = langid.sample_labelled(learn.select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("label")), langid.SAMPLE_PER_LANGUAGE, langid.LANGUAGES)
+    model = langid.fit(rows["text"].tolist(), rows["label"].tolist())
+    out = langid.predict_languages(docs, model)
+    fold = F.crc32(F.col("id").cast("string").cast("binary")) % 4 == 2
+    return out.select(F.col("id").alias("doc_id"), F.coalesce(fold, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where("doc_id is not null and label is not null")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    learn = docs.join(labels.where(~fold), "doc_id").where("text is not null")
+    rows = langid.sample_labelled(learn.select(F.col("doc_id").alias("key"), "text", "label"), quality_mil.SAMPLE_PER_LABEL, 2)
+    # the sample is balanced; the prior of the labels is restored below
+    share = learn.agg(F.avg(F.col("label").cast("double"))).first()[0] or 0.5
+    model = quality_mil.fit(rows["text"].tolist(), rows["label"].tolist())
+    model.restore_prior(share, rows["label"].mean() if len(rows) else 0.5)
+    out = quality_mil.score_quality(docs, model).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -55,8 +80,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op4_minhash": op4_minhash,
     "op5_line_dedup": op5_line_dedup,
+    "op6_quality": op6_quality,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
     "op10_mixing": op10_mixing,
