@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, minhash, mixing, quality_mil, quality_rules, url_filter
+from . import langid, line_dedup, minhash, mixing, quality_mil, quality_rules, sp_wfst, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +40,15 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where("doc_id is not null and label is not null")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    learn = docs.join(labels.where(~fold), "doc_id").where("text is not null")
-    rows = langid.sample_labelled(learn.select(F.col("doc_id").alias("key"), "text", "label"), quality_mil.SAMPLE_PER_LABEL, 2)
-    # the sample is balanced; the prior of the labels is restored below
-    share = learn.agg(F.avg(F.col("label").cast("double"))).first()[0] or 0.5
+    learn = labels.where(~fold)
+    counts = {r[0]: r[1] for r in learn.groupBy("label").count().collect()}
+    drawn = langid.draw(learn, counts, quality_mil.SAMPLE_PER_LABEL, "doc_id")
+    # a bounded sample of the labels meets the documents, so it may be broadcast
+    few = spark.createDataFrame(drawn.select("doc_id", "label").collect(), drawn.select("doc_id", "label").schema)
+    rows = docs.join(F.broadcast(few), "doc_id").where("text is not null").toArrow().to_pandas().sort_values(["doc_id", "text"], kind="stable")
+    share = counts.get(1, 0) / (sum(counts.values()) or 1)
     model = quality_mil.fit(rows["text"].tolist(), rows["label"].tolist())
+    # the sample is balanced; the scores go by the shares of the labels
     model.restore_prior(share, rows["label"].mean() if len(rows) else 0.5)
     out = quality_mil.score_quality(docs, model).withColumnRenamed("id", "doc_id")
     return out.select("doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -60,6 +65,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", x["n_lines"].alias("n_lines"), x["n_chunks"].alias("n_chunks"), x["n_removed_lines"].alias("n_removed_lines"), F.sha2(x["text"].cast("binary"), 256).alias("text_sha256"))
 
 
+PIECES = os.environ.get("TERRAVANE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_wfst.encoding_digest(table(spark, sf_dir, "documents"), PIECES).withColumnRenamed("id", "doc_id")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = quality_rules.judge(docs, carry=["doc_id", "lang"])
@@ -84,6 +96,7 @@ ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash": op4_minhash,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality": op6_quality,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
     "op10_mixing": op10_mixing,
