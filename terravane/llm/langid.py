@@ -170,17 +170,21 @@ def fit(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 4.0,
     return model
 
 
+def draw(rows: DataFrame, counts: dict, per_label: int, *key: str) -> DataFrame:
+    """About ``per_label`` rows of each label, chosen by hash of the key columns."""
+    share = F.lit(1.0)
+    for label, n in counts.items():
+        share = F.when(F.col("label") == label, F.lit(min(1.0, per_label / n))).otherwise(share)
+    return rows.where(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) / float(1 << 30) < share)
+
+
 def sample_labelled(rows: DataFrame, per_label: int, most_labels: int) -> pd.DataFrame:
     """About ``per_label`` rows of (text, label) for each label, chosen by hash of the row, on the driver."""
     counts = rows.groupBy("label").count()
     few = counts.limit(most_labels + 1).collect()
     if len(few) > most_labels:
         raise ValueError(f"more than {most_labels} labels")
-    share = F.lit(1.0)
-    for r in few:
-        share = F.when(F.col("label") == r[0], F.lit(min(1.0, per_label / r[1]))).otherwise(share)
-    drawn = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) / float(1 << 30)
-    got = rows.where(drawn < share).select("key", "text", "label").toArrow().to_pandas()
+    got = draw(rows, {r[0]: r[1] for r in few}, per_label, "key", "text").select("key", "text", "label").toArrow().to_pandas()
     return got.sort_values(["label", "key", "text"], kind="stable").reset_index(drop=True)
 
 

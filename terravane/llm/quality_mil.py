@@ -25,26 +25,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import mix
+
 BITS, DIM, GATE = 14, 16, 8
 PASSAGE = 64
 #: Labelled rows used for training, about this many for each label.
 SAMPLE_PER_LABEL = 1500
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_SHAPES = str.maketrans({**{c: "x" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "X" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "0123456789"}})
-
-
-def _hash(text: str) -> int:
-    h = 1469598103934665603
-    for b in text.encode("utf-8", "surrogatepass"):
-        h = (h ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
-    return h >> (64 - BITS)
-
-
-def word_features(word: str) -> list[int]:
-    """Hashed features of one word: its shape, its ends, and itself."""
-    shape = word.translate(_SHAPES)
-    runs = "".join(c for i, c in enumerate(shape) if not i or shape[i - 1] != c)
-    return [_hash("s" + runs[:6]), _hash("e" + word[-3:]), _hash("b" + word[:3]), _hash("w" + word.lower()), _hash("n" + str(min(len(word), 12)))]
+_shape = np.arange(128, dtype=np.uint64) + np.uint64(10)
+_shape[48:58], _shape[65:91], _shape[97:123] = 3, 2, 1
+FEATURES = 5
+
+
+def word_features(words: list[str]) -> np.ndarray:
+    """Hashed features, a row for each word: shape, end, beginning, the word itself, its length."""
+    cp = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.array([len(w) for w in words], np.int64)
+    first = np.cumsum(size) - size
+    last = first + size - 1
+    place = np.arange(len(cp)) - np.repeat(first, size)
+    shape = np.where(cp < 128, _shape[np.minimum(cp, 127).astype(np.int64)], cp + np.uint64(10))
+    turn = (place == 0) | (shape != np.roll(shape, 1))
+    run = np.cumsum(turn) - np.repeat(np.cumsum(turn)[first] - 1, size) - 1
+    salted = lambda x, k: mix(x * _MUL + k.astype(np.uint64))
+    runs = np.add.reduceat(np.where(turn & (run < 6), salted(shape, run), np.uint64(0)), first)
+    lower = np.where((cp >= 65) & (cp < 91), cp + np.uint64(32), cp)
+    whole = np.add.reduceat(salted(lower, place), first)
+    end, begin = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
+    for k in range(3):
+        has = (size > k).astype(np.uint64)
+        end = mix(end + has * cp[np.maximum(last - k, first)] * _MUL)
+        begin = mix(begin + has * cp[np.minimum(first + k, last)] * _MUL)
+    out = np.stack([runs, end, begin, whole, np.minimum(size, 12).astype(np.uint64)], 1)
+    return (mix(out + np.arange(FEATURES, dtype=np.uint64) * _MUL) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def passages(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -106,27 +119,17 @@ def attend(p: Params, h: np.ndarray, bag: np.ndarray) -> tuple[np.ndarray, ...]:
 class QualityModel:
     def __init__(self, params: Params, scale: tuple[float, float] = (1.0, 0.0)):
         self.p, self.scale = params, scale
-        self._vectors: dict[str, np.ndarray] = {}
 
     def restore_prior(self, share: float, sampled: float) -> None:
         """Shifts the scores from the share of label 1 in the sample to that in the labels."""
         odds = lambda q: np.log(max(q, 1e-3) / max(1 - q, 1e-3))
         self.scale = (self.scale[0], self.scale[1] + odds(share) - odds(sampled))
 
-    def vectors(self, words: list[str]) -> np.ndarray:
-        if len(self._vectors) > 200_000:  # bounded: invented words never end
-            self._vectors.clear()
-        new = [w for w in words if w not in self._vectors]
-        if new:
-            made = self.p.emb[np.array([word_features(w) for w in new])].mean(1)
-            self._vectors.update(zip(new, made, strict=True))
-        return np.stack([self._vectors[w] for w in words])
-
     def scores(self, texts: list[str | None]) -> np.ndarray:
         words, codes, start, bag = passages(texts)
         h = np.zeros((0, DIM))
         if words:
-            h = np.tanh(np.add.reduceat(self.vectors(words)[codes], start[:-1]) / np.diff(start)[:, None] + repetition(codes, start) @ self.p.rep)
+            h = np.tanh(np.add.reduceat(self.p.emb[word_features(words)].mean(1)[codes], start[:-1]) / np.diff(start)[:, None] + repetition(codes, start) @ self.p.rep)
         logit = attend(self.p, h, bag)[0]
         return _sigmoid(self.scale[0] * logit + self.scale[1])
 
@@ -141,7 +144,7 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 8, batch: int
         return QualityModel(p)
     words, codes, start, bag = passages(texts)
     reps = repetition(codes, start) if words else np.zeros((0, 3))
-    feats = np.array([word_features(w) for w in words]) if words else np.zeros((0, 5), np.int64)
+    feats = word_features(words) if words else np.zeros((0, FEATURES), np.int64)
     some = np.flatnonzero(np.diff(bag) > 0)
     shuffled = rng.permutation(some)
     check, learn = shuffled[: len(shuffled) // 5], shuffled[len(shuffled) // 5 :]
@@ -197,8 +200,8 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = QualityModel(*shared.value)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(mine.scores(part.column(1).to_pylist()))], names=schema.names)
 
     return plain.mapInArrow(run, schema)

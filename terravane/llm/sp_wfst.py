@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-PARTS_KEPT, PAIRS_KEPT = 250_000, 500_000
+PARTS_KEPT, PAIRS_KEPT = 600_000, 500_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
