@@ -353,5 +353,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """The rows of ``docs`` less those whose component has a smaller id."""
     found = near_duplicates(docs, id_col, text_col, percent)
-    gone = stash(found.where("id <> component_id").select("id").distinct(), "minhash-gone")
-    return docs.join(gone, docs[id_col] == gone["id"], "left_anti")
+    gone = stash(found.where("id <> component_id").select(F.col("id").alias("__tv_id")).distinct(), "minhash-gone")
+    return docs.join(gone, docs[id_col] == gone["__tv_id"], "left_anti")

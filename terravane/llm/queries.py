@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, langid, line_dedup, minhash, mixing, quality_mil, quality_rules, sp_wfst, url_filter
+from . import embed_dedup, langid, line_dedup, minhash, mixing, quality_mil, quality_rules, secret_scan, sp_wfst, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -98,6 +102,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op2_secrets": op2_secrets,
     "op3_embeddings": op3_embeddings,
     "op4_minhash": op4_minhash,
     "op5_line_dedup": op5_line_dedup,
