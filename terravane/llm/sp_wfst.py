@@ -10,9 +10,9 @@ Three machines are compiled from a model file:
 
 A merge-based tokenization is the one sequence whose neighbours all have weight
 0, so the tropical shortest path through the composition of the text with the
-three machines is the model's own encoding.  The composition is lazy: for every
-position only the state of finite weight is kept (there is exactly one, as every
-prefix has one encoding), and arcs of the acceptor are weighed when first met.
+three machines is the model's own encoding.  The composition is lazy: there is
+one state of finite weight at a position, as every prefix has one encoding, and
+arcs of the acceptor are weighed when first met.
 Where no piece can span a space, texts are cut there and the paths of the parts
 are remembered in a bounded table.
 
@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import ship
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PARTS_KEPT, PAIRS_KEPT = 600_000, 500_000
@@ -89,7 +91,8 @@ class Transducer:
         self.dummy = bool(norm[3])
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == NORMAL}
         self.score = {p: scores[i] for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
+        #: every beginning of a piece; the piece's id where it ends, else -1
+        self.arcs = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
         self.byte = {int(self.pieces[i][3:5], 16): i for i, k in enumerate(self.kinds) if k == BYTE}
         self.unknown = next(i for i, k in enumerate(self.kinds) if k == UNKNOWN)
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
@@ -124,33 +127,50 @@ class Transducer:
         return free
 
     def shortest_path(self, text: str) -> list[int]:
-        """The ids on the path of weight 0 through the composition with one normalised part."""
+        """The ids on the path of weight 0 through the composition with one normalised part.
+
+        Depth first, longest arcs first; as each position has one state of finite
+        weight, a position left without a way on is never entered again.
+        """
         n, size = len(text), len(self.pieces)
-        last, back = [-1] * (n + 1), [0] * (n + 1)  # the piece on the arc into each position (-1: bytes), and where it leaves
-        find, longest, known, weigh = self.ids.get, self.longest, self._pairs.get, self.weigh
-        for i in range(1, n + 1):
-            for j in range(i - longest if i > longest else 0, i):
-                v = find(text[j:i])
-                if v is not None:
-                    free = known((last[j] + 1) * size + v)
-                    if free or free is None and weigh(last[j], v):
-                        last[i], back[i] = v, j
+        arcs, known, weigh = self.arcs.get, self._pairs.get, self.weigh
+
+        def leaving(at: int) -> list[tuple[int, int]]:
+            out, j = [], at + 1
+            while j <= n:
+                v = arcs(text[at:j])
+                if v is None:
+                    break
+                if v >= 0:
+                    out.append((j, v))
+                j += 1
+            return out or [(at + 1, -1)]  # the bytes of a character that no piece covers
+
+        path, dead = [(0, leaving(0) if n else [], -1)], set()
+        while (top := path[-1])[0] < n:
+            at, ways, last = top
+            while ways:
+                end, v = ways.pop()
+                if end not in dead:
+                    free = v < 0 or known((last + 1) * size + v)
+                    if free or free is None and weigh(last, v):
+                        path.append((end, leaving(end) if end < n else ways, v))
                         break
             else:
-                if text[i - 1] in self.ids:
+                dead.add(at)
+                path.pop()
+                if not path:
                     raise AssertionError("no path of finite weight")
-                back[i] = i - 1
         out: list[int] = []
-        i = n
-        while i:
-            if last[i] >= 0:
-                out.append(last[i])
+        for k in range(1, len(path)):
+            end, _, v = path[k]
+            if v >= 0:
+                out.append(v)
             elif self.byte:
-                out += [self.byte[b] for b in reversed(text[i - 1].encode("utf-8", "surrogatepass"))]
+                out += [self.byte[b] for b in text[end - 1].encode("utf-8", "surrogatepass")]
             elif not (out and out[-1] == self.unknown):
                 out.append(self.unknown)
-            i = back[i]
-        return out[::-1]
+        return out
 
     def _part(self, part: str) -> bytes:
         got = self._older.get(part)
@@ -185,6 +205,7 @@ def compiled(path: str) -> Transducer:
 
 def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """The rows of ``docs`` with the ids of each whole text as array<int>."""
+    ship(docs.sparkSession)
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
 
@@ -203,6 +224,7 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", i
 
 def encoding_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_bytes, ids_sha256, round_trip): ids hashed as little-endian int32, and whether they decode to the text."""
+    ship(docs.sparkSession)
     plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     schema = T.StructType([plain.schema[0], *(T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("n_bytes", T.LongType()), ("ids_sha256", T.StringType()), ("round_trip", T.BooleanType())))])
 
