@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix
+from .common import mix, ship
 
 BITS, DIM, GATE = 14, 16, 8
 PASSAGE = 64
@@ -193,6 +193,7 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 8, batch: int
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for every row."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.p, model.scale))
     plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     schema = T.StructType([plain.schema[0], T.StructField("score", T.DoubleType())])
