@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stash
+from .common import partitions, ship, stash
 from .components import connected_components
 
 BLOCK = 8
@@ -47,12 +47,19 @@ def blocks(d: int) -> list[slice]:
     return [slice(i, min(i + BLOCK, d)) for i in range(0, d, BLOCK)]
 
 
+def unpacked(raw: list[bytes], d: int) -> np.ndarray:
+    width = len(raw[0]) // d
+    return np.frombuffer(b"".join(raw), f"<f{width}").reshape(-1, d).astype(np.float64)
+
+
 def _unit(raw: np.ndarray) -> np.ndarray:
     return raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
 
 
 def packed(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, d, raw): the components of usable vectors as bytes of doubles; d is 0 for the others."""
+    """(id, d, raw): the components of usable vectors as bytes, of the width they have; d is 0 for the others."""
+    ship(vectors.sparkSession)
+    wide = np.float32 if vectors.schema[vec_col].dataType.elementType.simpleString() == "float" else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,7 +68,7 @@ def packed(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
                 x = None if not v.is_valid else v.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 ok = x is not None and len(x) and np.isfinite(x).all() and 0 < (s := float(x @ x)) < np.inf
                 size.append(len(x) if ok else 0)
-                raw.append(x.tobytes() if ok else b"")
+                raw.append(x.astype(wide).tobytes() if ok else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), pa.array(raw, pa.binary())], names=["id", "d", "raw"])
 
     return vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").alias("v")).mapInArrow(run, "id long, d int, raw binary")
@@ -75,7 +82,7 @@ def _placed(classes: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             for d in np.unique(batch.column(1).to_numpy()):
                 part = batch.filter(pa.array(batch.column(1).to_numpy() == d))
-                x = _unit(np.frombuffer(b"".join(part.column(2).to_pylist()), np.float64).reshape(-1, d)) @ rotation(d)
+                x = _unit(unpacked(part.column(2).to_pylist(), d)) @ rotation(d)
                 for b, s in enumerate(blocks(d)):
                     r = np.sqrt(budget * (s.stop - s.start) / d) * (1 + 1e-6) + 1e-9
                     first = x[:, s.start] / (2 * r)
@@ -172,7 +179,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     # one row for each cell: their number follows the blocks and the radius, not the vectors
     sizes = placed.groupBy("d", "b", "cell").agg(F.sum(1 - F.col("role")).alias("homes"), F.sum("role").alias("probes")).where("homes > 0 and probes > 0")
     total = classes.count()
-    most = max(256, min(TILE, int(total * 24 / (4 * partitions(spark)) + 1)))
+    most = max(2048, min(TILE, int(total * 24 / (4 * partitions(spark)) + 1)))
     tiles = sizes.select("d", "b", "cell", F.ceil(F.col("homes") / most).alias("hs"), F.ceil(F.col("probes") / (2 * most)).alias("ps"))
     sized = placed.join(tiles, ["d", "b", "cell"])
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
@@ -192,7 +199,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
             t = pa.Table.from_batches(held).combine_chunks()
             d, b = t["d"][0].as_py(), t["b"][0].as_py()
             role, ids, n = (t[c].to_numpy() for c in ("role", "id", "n"))
-            x = np.frombuffer(b"".join(t["raw"].to_pylist()), np.float64).reshape(-1, d)
+            x = unpacked(t["raw"].to_pylist(), d)
             h, p = role == 0, role == 1
             got = join_tile(d, b, (ids[h], n[h], x[h]), (ids[p], n[p], x[p]), threshold)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["id", "links", "root"])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, lower_ascii, mix, partitions, slices, span_hashes, stash, text_buffers, word_bounds
+from .common import append_columns, lower_ascii, mix, partitions, ship, slices, span_hashes, stash, text_buffers, word_bounds
 from .components import connected_components
 
 SHINGLE = 5
@@ -147,6 +147,7 @@ def sign(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n, k1, k2, bands, s1, s2): set size, set fingerprint, band hashes, sketch of long texts."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

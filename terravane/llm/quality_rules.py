@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, mix, slices, span_hashes, stash, text_buffers, word_bounds
+from .common import append_columns, mix, ship, slices, span_hashes, stash, text_buffers, word_bounds
 
 ORDER = 5
 CODE_BITS = 12
@@ -131,6 +131,7 @@ def fold(key, bits: int):
 
 def count_ngrams(texts: DataFrame) -> DataFrame:
     """(key, c) over every text of the one string column."""
+    ship(texts.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -222,6 +223,7 @@ _scorers: dict[str, Scorer] = {}
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The carried columns with the base counts, n_chars and the mean log-perplexity of each text."""
+    ship(docs.sparkSession)
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     carry = docs.columns if carry is None else carry
     t, *names = "__tv_text", *(f"__tv_{i}" for i in range(len(carry)))
