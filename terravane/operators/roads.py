@@ -1,0 +1,59 @@
+"""The road graph, least-cost routes and chokepoints.
+
+The contracted graph of the terrain has a dozen nodes, so routes come from the
+closure of the min-plus product: four squarings reach every path of up to 16
+edges in a plan without loops.
+"""
+
+from __future__ import annotations
+
+from functools import cache
+
+from ..sources import terrain as T
+
+
+@cache
+def edges() -> list[tuple[int, int, str, float, tuple[float, float], tuple[float, float]]]:
+    """(a, b, road, length, (n, e) of a, (n, e) of b), roads cut where they meet."""
+    marks: dict[str, list[tuple[float, float]]] = {}
+    for name, fixed, a, b, north in T.ROADS:
+        at = {(float(v), float(fixed)) if north else (float(fixed), float(v)) for v in (a, b)}
+        for _, f2, a2, b2, north2 in T.ROADS:
+            if north2 != north and a2 <= fixed <= b2 and a <= f2 <= b:
+                at.add((float(f2), float(fixed)) if north else (float(fixed), float(f2)))
+        marks[name] = sorted(at)
+    nodes = {p: i for i, p in enumerate(sorted({p for m in marks.values() for p in m}))}
+    return [(nodes[p], nodes[q], name, abs(p[0] - q[0]) + abs(p[1] - q[1]), p, q) for name, m in marks.items() for p, q in zip(m, m[1:], strict=False)]
+
+
+def _edge_rows() -> str:
+    both = [(a, b, d) for a, b, _, d, _, _ in edges()] + [(b, a, d) for a, b, _, d, _, _ in edges()]
+    nodes = {x for a, b, *_ in edges() for x in (a, b)}
+    return "(SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, d FROM (VALUES " + ", ".join(f"({a}, {b}, {T.num(d)})" for a, b, d in both + [(x, x, 0) for x in sorted(nodes)]) + ") AS v(a, b, d))"
+
+
+def node_rows() -> str:
+    nodes = sorted({(a, p) for a, _, _, _, p, _ in edges()} | {(b, q) for _, b, _, _, _, q in edges()})
+    return "(SELECT CAST(node AS BIGINT) AS node, n, e FROM (VALUES " + ", ".join(f"({i}, {T.num(p[0])}, {T.num(p[1])})" for i, p in nodes) + ") AS v(node, n, e))"
+
+
+def closure() -> str:
+    """CTEs d0..d4: least road distance between any two nodes."""
+    steps = [f"d0 AS (SELECT a, b, min(d) AS d FROM {_edge_rows()} x GROUP BY a, b)"]
+    steps += [f"d{k + 1} AS (SELECT x.a, y.b, min(x.d + y.d) AS d FROM d{k} x JOIN d{k} y ON x.b = y.a GROUP BY x.a, y.b)" for k in range(4)]
+    return ",\n".join(steps)
+
+
+def routes(pairs: str) -> str:
+    """Least road distance of each (id, n1, e1, n2, e2) between the nodes nearest to its ends; ties by node."""
+    snap = lambda n, e: f"(SELECT p.id, v.node, row_number() OVER (PARTITION BY p.id ORDER BY (p.{n} - v.n) * (p.{n} - v.n) + (p.{e} - v.e) * (p.{e} - v.e), v.node) AS rnk FROM {pairs} p, {node_rows()} v)"
+    return f"""WITH {closure()}
+SELECT f.id, f.node AS from_node, t.node AS to_node, round(d.d, 3) AS length FROM (SELECT * FROM {snap('n1', 'e1')} x WHERE rnk = 1) f
+JOIN (SELECT * FROM {snap('n2', 'e2')} y WHERE rnk = 1) t ON f.id = t.id JOIN d4 d ON d.a = f.node AND d.b = t.node"""
+
+
+def chokepoints() -> str:
+    """Edges by the number of node pairs whose least-cost routes use them."""
+    return f"""WITH {closure()}
+SELECT e.a, e.b, round(e.d, 3) AS length, count(*) AS pairs FROM d0 e JOIN d4 x ON x.b = e.a JOIN d4 y ON y.a = e.b JOIN d4 z ON z.a = x.a AND z.b = y.b
+WHERE e.a < e.b AND x.a <> y.b AND abs(x.d + e.d + y.d - z.d) < 0.001e0 GROUP BY e.a, e.b, e.d"""

@@ -1,0 +1,30 @@
+"""Plans are SQL with three macros; rendering binds them to an engine.
+
+``{t:name}`` is a base table, ``{seq:n}`` the integers 0..n-1 in a column i, and
+``{each:n:k}`` after a relation repeats its rows for k from 0 to n, n included.
+Everything else is the dialect that Spark and DuckDB share: double literals with
+an exponent, explicit casts of floor, no ``%`` on doubles.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+_TABLE, _SEQ, _EACH = re.compile(r"\{t:(\w+)\}"), re.compile(r"\{seq:([^}]+)\}"), re.compile(r"\{each:([^}:]+):(\w+)\}")
+
+
+def for_spark(plan: str, sf_dir: str) -> str:
+    plan = _TABLE.sub(lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", plan)
+    plan = _EACH.sub(lambda m: f"LATERAL VIEW explode(sequence(0L, CAST({m[1]} AS BIGINT))) each_{m[2]} AS {m[2]}", plan)
+    return _SEQ.sub(lambda m: f"(SELECT id AS i FROM range({m[1]}))", plan)
+
+
+def for_duckdb(plan: str) -> str:
+    plan = _EACH.sub(lambda m: f", unnest(range(0, CAST({m[1]} AS BIGINT) + 1)) AS each_{m[2]}({m[2]})", plan)
+    return _SEQ.sub(lambda m: f"(SELECT range AS i FROM range({m[1]}))", _TABLE.sub(lambda m: m[1], plan))
+
+
+def run(spark: SparkSession, sf_dir: str, plan: str) -> DataFrame:
+    return spark.sql(for_spark(plan, sf_dir))
