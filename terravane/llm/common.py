@@ -8,17 +8,15 @@ inside a multi-byte sequence.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.cluster import shared_dir, ship  # noqa: F401
+
 #: Bytes of text handled at once; bounds the temporaries of a scan.
 SLICE_BYTES = 2 << 20
 
@@ -27,35 +25,6 @@ _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to Python workers that would not find it on their path."""
-    home = Path(__file__).resolve().parents[2]
-    if str(home) in os.environ.get("PYTHONPATH", "").split(":") or spark.sparkContext.applicationId in _shipped:
-        return
-    out = Path(tempfile.mkdtemp(prefix="terravane-")) / "terravane.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for f in sorted((home / "terravane").rglob("*.py")):
-            z.write(f, f.relative_to(home))
-    spark.sparkContext.addPyFile(str(out))
-    _shipped.add(spark.sparkContext.applicationId)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            return jdir.get()
-        base = tempfile.mkdtemp(prefix="terravane-")
-        spark.sparkContext.setCheckpointDir(base)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return base
-
-
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"

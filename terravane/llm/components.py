@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.cluster import shared_dir
+
 
 def _state(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
@@ -24,6 +26,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     ``edges`` has two BIGINT columns; order, repeats and self-links do not
     matter.  Null ends are ignored.  An empty table gives an empty result.
     """
+    shared_dir(edges.sparkSession)
     now = (
         edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
         .where("u <> v")
