@@ -36,6 +36,8 @@ SAMPLE_PER_LANGUAGE = 600
 #: Languages learned at most; it bounds the sample, and more are refused.
 LANGUAGES = 1000
 WORD = re.compile(r"[^\W\d_]+")
+#: Gradient steps at least; a small sample is gone through more often.
+STEPS = 600
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,7 +140,9 @@ def fit(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 4.0,
     held = {i: features(i) for i in keep}
     shuffled = rng.permutation(keep)
     check, learn = shuffled[: len(shuffled) // 5], shuffled[len(shuffled) // 5 :]
-    steps = max(1, epochs * -(-len(learn) // batch))
+    each = max(1, -(-len(learn) // batch))
+    epochs = max(epochs, -(-STEPS // each))
+    steps = epochs * each
     step = 0
     for _ in range(epochs):
         order = rng.permutation(learn)

@@ -90,4 +90,4 @@ def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.size("chunks").cast("long").alias("n_chunks"),
         F.when(F.col("gone").isNull(), F.lit(0)).otherwise(lost).cast("long").alias("n_removed_lines"),
     )
-    return df.select("row.*", out.alias("__tv_lines"))
+    return df.select("row", out.alias("__tv_lines")).select("row.*", "__tv_lines")
