@@ -53,6 +53,7 @@ def removed_chunks(docs: DataFrame, divisor: int = 3, min_chars: int = 40) -> Da
     light = stash(light, "line-chunks")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "rk", "k")
     again = light.groupBy("ck").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1").select("ck", "first")
+    again = stash(again, "line-repeats")  # joined from a table, a frequent chunk's rows can be split
     marks = (
         light.join(again, "ck")
         .select("rk", F.struct("k", "ck", ((F.col("rk") == F.col("first.rk")) & (F.col("k") == F.col("first.k"))).alias("is_first")).alias("mark"))
@@ -69,6 +70,7 @@ def removed_chunks(docs: DataFrame, divisor: int = 3, min_chars: int = 40) -> Da
         "line-marks",
     )
     firsts = texts.where("is_first").select("ck", F.col("chunk").alias("first_chunk")).distinct()
+    firsts = stash(firsts, "line-firsts")
     same = texts.where("not is_first").join(firsts, "ck").where("chunk = first_chunk")
     return same.groupBy("rk").agg(F.collect_set("k").alias("gone"))
 
