@@ -8,8 +8,9 @@ inside a multi-byte sequence.
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,21 @@ _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
 
+_holder: list = ["", None]
+
+
+def hold(name: str, drop: Callable[[], None] | None = None) -> None:
+    """Says which operator works in this Python worker; the tables another one left are dropped.
+
+    Workers outlive stages, so the tables of a pipeline's stages would add up.
+    """
+    if _holder[0] != name:
+        if _holder[1]:
+            _holder[1]()
+            gc.collect()
+        _holder[:] = [name, drop]
+
+
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, lower_ascii, mix, partitions, ship, slices, span_hashes, stash, text_buffers, word_bounds
+from .common import append_columns, hold, lower_ascii, mix, partitions, ship, slices, span_hashes, stash, text_buffers, word_bounds
 from .components import connected_components
 
 SHINGLE = 5
@@ -150,6 +150,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("minhash")
         for batch in batches:
             ids = batch.column(0)
             buf, off, _ = text_buffers(batch.column(1))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, mix, ship, slices, span_hashes, stash, text_buffers, word_bounds
+from .common import hold, mix, ship, slices, span_hashes, stash, text_buffers, word_bounds
 
 ORDER = 5
 CODE_BITS = 12
@@ -134,6 +134,7 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
     ship(texts.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("ngrams")
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -226,12 +227,15 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text",
     ship(docs.sparkSession)
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     carry = docs.columns if carry is None else carry
-    t, *names = "__tv_text", *(f"__tv_{i}" for i in range(len(carry)))
-    inner = docs.select(F.col(f"`{text_col}`").alias(t), *(F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)))
+    # the text travels once, whether it is carried or only read
+    sent = carry if text_col in carry else [*carry, text_col]
+    at, names = sent.index(text_col), [f"__tv_{i}" for i in range(len(sent))]
+    inner = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(sent, names, strict=True)))
     fields = [*(f"__q_{f}" for f in BASE_FIELDS), "__q_chars"]
-    schema = T.StructType([*inner.schema.fields[1:], *(T.StructField(f, T.LongType()) for f in fields), T.StructField("__q_log_ppl", T.DoubleType())])
+    schema = T.StructType([*inner.schema.fields[: len(carry)], *(T.StructField(f, T.LongType()) for f in fields), T.StructField("__q_log_ppl", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("quality_rules", _scorers.clear)
         scorer = None
         for batch in batches:
             if scorer is None:
@@ -239,7 +243,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text",
                 if scorer is None:
                     _scorers.clear()
                     scorer = _scorers[name] = Scorer(shared.value)
-            buf, off, _ = text_buffers(batch.column(0))
+            buf, off, _ = text_buffers(batch.column(at))
             got: dict[str, list[np.ndarray]] = {f: [] for f in (*BASE_FIELDS, "chars", "sum")}
             for i, j in slices(off, SCAN_BYTES):
                 a, b = off[i], off[j]
@@ -257,10 +261,10 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text",
             chars = cols["chars"]
             ppl = -cols["sum"] / np.maximum(chars, 1)
             new = [pa.array(cols[f].astype(np.int64)) for f in (*BASE_FIELDS, "chars")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new, pa.array(ppl, mask=chars == 0)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *new, pa.array(ppl, mask=chars == 0)], names=schema.names)
 
     out = inner.mapInArrow(run, schema)
-    return out.select(*(F.col(n).alias(c) for c, n in zip(carry, names, strict=True)), *fields, "__q_log_ppl")
+    return out.select(*(F.col(n).alias(c) for c, n in zip(carry, names, strict=False)), *fields, "__q_log_ppl")
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, reach: float = 4.0, narrowest: float = 0.05) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import hold, ship
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -198,6 +198,7 @@ _compiled: dict[str, Transducer] = {}
 
 
 def compiled(path: str) -> Transducer:
+    hold("sp_wfst", _compiled.clear)
     if path not in _compiled:
         _compiled[path] = Transducer(path)
     return _compiled[path]
