@@ -36,7 +36,7 @@ from .common import hold, ship
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-PARTS_KEPT, PAIRS_KEPT = 600_000, 500_000
+PARTS_KEPT, PAIRS_KEPT = 300_000, 250_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -213,8 +213,8 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(model_path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, 100):
+                part = batch.slice(i, 100)
                 ids = [machine.encode(t) for t in part.column(at).to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
