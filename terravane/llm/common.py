@@ -8,6 +8,7 @@ inside a multi-byte sequence.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,11 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.cluster import shared_dir, ship  # noqa: F401
+from ..plans import cluster
+from ..plans.cluster import shared_dir
 
 #: Bytes of text handled at once; bounds the temporaries of a scan.
 SLICE_BYTES = 2 << 20
 
+#: Rows and bytes that a Python worker gets at once; a session may set less.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -37,10 +42,25 @@ def hold(name: str, drop: Callable[[], None] | None = None) -> None:
     if _holder[0] != name:
         if _holder[1]:
             _holder[1]()
-            gc.collect()
+        give_back()
         _holder[:] = [name, drop]
 
 
+def give_back() -> None:
+    """Returns to the system what this worker's allocators keep of freed memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes the package known to Python workers and bounds the batches that they get: texts may be long."""
+    cluster.ship(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -270,8 +270,8 @@ def _strays(inside: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             made = compared(rows) if rows else np.zeros((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy())], names=["a", "b"])
 
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for part in (b.slice(i, TILE) for b in batches for i in range(0, b.num_rows, TILE)):
+            for r in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if (key := (r[0], r[2], r[3])) != now:
                     yield done()
                     now, rows = key, []

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hold, mix, ship, slices, span_hashes, stash, text_buffers, word_bounds
+from .common import give_back, hold, mix, ship, slices, span_hashes, stash, text_buffers, word_bounds
 
 ORDER = 5
 CODE_BITS = 12
@@ -38,6 +38,8 @@ FOLD = {1: 12, 2: 20, 3: 20, 4: 21, 5: 22}
 _A, _B, _LOW = 0x9E3779B1, 0x85EBCA77, (1 << 30) - 1
 SYMBOLS = b"#*$%&|<>"
 SCAN_BYTES = 1 << 19
+#: Distinct n-grams that a counting task holds; it sends them on beyond half of that.
+HELD_KEYS = 2_000_000
 BAND_LANGUAGES = 20_000
 _symbol = np.zeros(256, bool)
 _symbol[list(SYMBOLS)] = True
@@ -141,18 +143,24 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
             keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
             return keys, np.bincount(inverse, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64)
 
+        def sent() -> Iterator[pa.RecordBatch]:
+            k, c = merged()
+            held.clear()
+            for i in range(0, len(k), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 100_000]), pa.array(c[i : i + 100_000])], names=["key", "c"])
+
         for batch in batches:
             buf, off, _ = text_buffers(batch.column(0))
             for i, j in slices(off, SCAN_BYTES):
                 a, b = off[i], off[j]
                 key, _ = gram_keys(buf[a:b], off[i : j + 1] - a)
                 held.append(np.unique(key, return_counts=True))
-                if sum(len(k) for k, _ in held) > 2_000_000:
-                    held = [merged()]
+                if sum(len(k) for k, _ in held) > HELD_KEYS:
+                    held[:] = [merged()]
+                    if len(held[0][0]) > HELD_KEYS // 2:
+                        yield from sent()
         if held:
-            k, c = merged()
-            for i in range(0, len(k), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 100_000]), pa.array(c[i : i + 100_000])], names=["key", "c"])
+            yield from sent()
 
     return texts.mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
@@ -243,6 +251,8 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text",
                 if scorer is None:
                     _scorers.clear()
                     scorer = _scorers[name] = Scorer(shared.value)
+                    vars(shared).pop("_value", None)  # expanded now; read from its file again if need be
+                    give_back()
             buf, off, _ = text_buffers(batch.column(at))
             got: dict[str, list[np.ndarray]] = {f: [] for f in (*BASE_FIELDS, "chars", "sum")}
             for i, j in slices(off, SCAN_BYTES):
