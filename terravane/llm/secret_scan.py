@@ -2,10 +2,11 @@ r"""Secret scans by grammar inference.
 
 Labelled credentials of a format become a prefix tree; states whose outgoing and
 final frequencies are compatible (Hoeffding bound at ``ALPHA``) are merged, red
-and blue states in order of discovery, into a probabilistic automaton.  Every
-candidate run of a text is scored by each format's automaton: bits of likelihood
-against prose, and mean bits a symbol against what the format's own credentials
-reach.  Symbols are character classes; the characters that all labelled
+and blue states in order of discovery, into a probabilistic automaton.  In every
+run of a text each format's automaton goes forward from each of its prefixes, or
+without one from each separator, to the longest end that it accepts by bits of
+likelihood against prose and by mean bits a symbol against what the format's own
+credentials reach, and on behind that end.  Symbols are character classes; the characters that all labelled
 credentials of a format begin with stay literal.
 
 Three plain patterns always hold beside it (kinds ``assign``, ``access``,
@@ -39,6 +40,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 KEYWORDS = ("passw", "secret", "token", "api")
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{32,}")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+SEPARATORS = "+/_.=-"
+GAP = re.compile(r"^[+/_.=-]*|[+/_.=-]+")
 
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _ALNUM = _UPPER + _LOWER + _DIGIT
@@ -175,6 +178,14 @@ class Format:
         self.least = mean - 4 * (sum((e - mean) ** 2 for e in each) / len(each)) ** 0.5 - 0.05
         self.shortest = min(map(len, words))
 
+        n = [v + 1 for v in self.machine.visits]
+        known = {x for q in self.machine.states for x in self.machine.next[q]}
+        #: The most bits that a symbol, or the end, brings in any state.
+        self.most = {x: max(math.log2(self.machine.hits[q][x] / n[q]) for q in self.machine.states if x in self.machine.next[q]) for x in known}
+        self.end_bits = {q: math.log2((self.machine.ends[q] + 1e-3) / n[q]) for q in self.machine.states}
+        chars = "".join(c for c in _ALNUM + SEPARATORS if _class.get(c, c) in known)
+        self.body = re.compile(f"[{re.escape(chars)}]*")
+
     def fits(self, text: str) -> bool:
         if len(text) < self.shortest or not text.startswith(self.prefix):
             return False
@@ -183,6 +194,58 @@ class Format:
         prose = sum(math.log2(_PROSE.get(s, 0.005)) for s in symbols(text))
         return got / len(text) >= self.least and got - prose >= BITS
 
+    def _bounds(self, own: list[str]) -> tuple[list[float], list[float]]:
+        """At each place of a body, the most that the rest can still add to the bits over prose and over ``least``."""
+        over, spare = [0.0], [0.0]
+        for s in reversed(own):
+            over.append(max(0.0, over[-1] + self.most[s] - math.log2(_PROSE.get(s, 0.005))))
+            spare.append(max(0.0, spare[-1] + self.most[s] - self.least))
+        return over[::-1], spare[::-1]
+
+    def starts(self, part: str) -> Iterator[int]:
+        """Where a credential may start: at the prefix, else after separators, then at those separators from the last back."""
+        at = part.find(self.prefix) if self.prefix else -1
+        while at >= 0:
+            yield at
+            at = part.find(self.prefix, at + 1)
+        if not self.prefix:
+            for m in GAP.finditer(part):
+                yield from range(m.end(), m.start() - 1, -1)
+
+    def spans(self, part: str) -> Iterator[tuple[int, int]]:
+        """The credentials in a run: from each start the longest end accepted; the search goes on after it."""
+        m, done, a, b = self.machine, 0, 0, -1
+        for start in self.starts(part):
+            i = start + len(self.prefix)
+            if start < done or len(part) - start < self.shortest:
+                continue
+            if not a <= i <= b:
+                a, b = self.body.match(part, i).span()
+                own = symbols(part[a:b])
+                over, spare = self._bounds(own) if b - start >= self.shortest else ([], [])
+            if b - start < self.shortest:
+                continue
+            state, got, prose, end = 0, 0.0, sum(math.log2(_PROSE.get(s, 0.005)) for s in symbols(self.prefix)), -1
+            while True:
+                if i - start >= self.shortest:
+                    total = got + self.end_bits[state]
+                    if total / (i - start) >= self.least and total - prose >= BITS:
+                        end = i
+                if i == b or got - prose + over[i - a] < BITS - 1e-6 or got - self.least * (i - start) + spare[i - a] < -1e-6:
+                    break
+                s = own[i - a]
+                if s not in m.next[state]:
+                    break
+                got += math.log2(m.hits[state][s] / (m.visits[state] + 1))
+                prose += math.log2(_PROSE.get(s, 0.005))
+                state = m.next[state][s]
+                i += 1
+            if end >= 0:
+                bare = start + len(part[start:end].rstrip("./="))  # what closes a sentence or a path is not the credential's
+                end = bare if bare < end and self.fits(part[start:bare]) else end
+                yield start, end
+                done = end
+
 
 @cache
 def formats() -> tuple[Format, ...]:
@@ -206,20 +269,17 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 def inferred_spans(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """(start, kind, end) of candidates that an automaton accepts, outside of the base spans."""
-    out = []
+    out: list[tuple[int, str, int]] = []
     for run in RUN.finditer(text):
-        part = run[0]
-        whole = part.strip("._=-/+")
+        known = [(s, t) for s, _, t in base if s < run.end() and t > run.start()]
         for f in formats():
-            at = part.find(f.prefix) if f.prefix else part.find(whole)
-            while at >= 0:
-                found = next((c for c in {part[at:], part[at:].rstrip("._=-/+")} if f.fits(c)), None)
-                if found:
-                    a, e = run.start() + at, run.start() + at + len(found)
-                    if not any(s <= a and e <= t for s, _, t in base):
-                        out.append((a, f.kind, e))
-                    break
-                at = part.find(f.prefix, at + 1) if f.prefix else -1
+            for a, e in f.spans(run[0]):
+                a, e = run.start() + a, run.start() + e
+                # a part of a credential that another format names is not one more
+                if not any(s <= a and e <= t for s, t in known):
+                    out.append((a, f.kind, e))
+                    if f.prefix:
+                        known.append((a, e))
     return out
 
 

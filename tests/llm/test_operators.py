@@ -98,6 +98,32 @@ def test_automata_accept_formats_and_leave_prose():
     assert secret_scan.scan(text)[1] == []
 
 
+def test_credentials_inside_longer_runs_are_found():
+    r = random.Random(31)
+    by_kind = {f.kind: f for f in secret_scan.formats()}
+
+    def made(kind, prefix, n, extra=""):
+        """A credential that is accepted when it stands alone."""
+        while not by_kind[kind].fits(got := prefix + "".join(r.choice(secret_scan._ALNUM + extra) for _ in range(n - 1)) + "x"):
+            pass
+        return got
+
+    for _ in range(20):
+        hub, npm, key = made("github", "ghp_", 36), made("npm", "npm_", 36), made("random40", "", 40, "+/")
+        for text, kind, want in [
+            (f"AWS_SECRET_ACCESS_KEY={key}", "random40", key),
+            (f"SECRET_KEY={key}", "random40", key),
+            (f"see x.y={key}=", "random40", key),
+            (f"https://host/{hub}/repo.git", "github", hub),
+            (f"{npm}.tgz", "npm", npm),
+            (f"a={hub}/{npm}/{hub}", "github", hub),
+        ]:
+            found = [text[a:e] for a, k, e in secret_scan.scan(text)[1] if k == kind]
+            assert found == [want] * text.count(want), text
+    long = "a/bc/" * 40_000
+    assert secret_scan.scan(long)[1] == []
+
+
 # --- embeddings
 
 
