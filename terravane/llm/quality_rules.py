@@ -3,10 +3,10 @@
 The language model is a modified Kneser-Ney model over characters.  Spark counts
 the n-grams of the whole corpus (every task first counts its own), derives the
 continuation counts of the lower orders from the distinct ones, and the model
-ends up as sorted arrays of folded n-gram hashes with their discounted counts
-and context weights.  Folding bounds the model by ``2 ** FOLD[n]`` entries an
-order (some 60 MB in all, at any size of the corpus), so it may be broadcast;
-the counts behind it cover all the data.
+ends up as sorted arrays of 64-bit n-gram hashes with their discounted counts
+and context weights.  N-grams are counted as whole code points, packed in two
+longs, and keep an entry each: the model, which is broadcast, has 12 bytes for
+every distinct n-gram and 16 for every distinct context of the corpus.
 
 A document's perplexity is compared with its language's: the band reaches
 ``reach`` interquartile ranges beyond the quartiles of log-perplexity on either
@@ -31,11 +31,12 @@ from pyspark.sql import types as T
 from .common import give_back, hold, mix, ship, slices, span_hashes, stash, text_buffers, word_bounds
 
 ORDER = 5
-CODE_BITS = 12
-CODES = 1 << CODE_BITS
-#: Bits of the folded hash of an n-gram, by n.
-FOLD = {1: 12, 2: 20, 3: 20, 4: 21, 5: 22}
-_A, _B, _LOW = 0x9E3779B1, 0x85EBCA77, (1 << 30) - 1
+CODE_BITS = 21
+CODES = 0x110000
+#: An n-gram's last characters go into ``lo``, those before them into ``hi``.
+LOW = 3
+#: Entries a bucket of the index over a sorted array has on average, at most.
+BUCKET = 2
 SYMBOLS = b"#*$%&|<>"
 SCAN_BYTES = 1 << 19
 #: Distinct n-grams that a counting task holds; it sends them on beyond half of that.
@@ -102,67 +103,91 @@ def base_counts(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def gram_keys(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ORDER-gram ending at each character, packed, and its row; zeros stand before a text."""
+    """The ORDER-gram ending at each character, as rows (hi, lo), and its text's row; zeros stand before a text."""
     raw = buf.tobytes().decode("utf-8", "replace")
-    cp = np.frombuffer(raw.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    code = np.frombuffer(raw.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
     heads = np.zeros(len(buf) + 1, np.int64)
     np.cumsum((buf & 0xC0) != 0x80, out=heads[1:])
     coff = heads[off]
-    code = np.where(cp < 3840, cp, 3840 + (cp * 40503 >> 4) % 256)
-    code[(cp == 32) | ((cp >= 9) & (cp <= 13))] = 32
-    code[cp == 0] = 1
+    code[(code == 32) | ((code >= 9) & (code <= 13))] = 32
+    code[code == 0] = 1
     rows = len(off) - 1
     row = np.repeat(np.arange(rows), np.diff(coff))
-    wide = np.zeros(len(cp) + (ORDER - 1) * rows, np.int64)
-    at = np.arange(len(cp)) + (ORDER - 1) * (row + 1)
+    wide = np.zeros(len(code) + (ORDER - 1) * rows, np.int64)
+    at = np.arange(len(code)) + (ORDER - 1) * (row + 1)
     wide[at] = code
-    key = np.zeros(len(wide), np.int64)
+    key = np.zeros((2, len(wide)), np.int64)
     for k in range(ORDER):
-        key[k:] |= wide[: len(wide) - k] << (CODE_BITS * k)
-    return key[at], row
+        key[int(k < LOW), k:] |= wide[: len(wide) - k] << (CODE_BITS * (k % LOW))
+    return key[:, at].T, row
 
 
-def fold(key, bits: int):
-    """A hash of a packed n-gram to ``bits`` bits; numpy arrays and Columns alike."""
-    if isinstance(key, Column):
-        x = key.bitwiseAND(F.lit(_LOW)) * F.lit(_A) + F.shiftright(key, 30) * F.lit(_B)
-        return F.shiftright(x.bitwiseXOR(F.shiftright(x, 31)), 7).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-    x = (key & _LOW) * _A + (key >> 30) * _B
-    return ((x ^ (x >> 31)) >> 7) & ((1 << bits) - 1)
+def last(hi, lo, n: int):
+    """(hi, lo) of the last n characters; numpy arrays and Columns alike."""
+    zero = F.lit(0).cast("long") if isinstance(hi, Column) else np.zeros_like(lo)
+    ones = lambda x, k: x.bitwiseAND(F.lit((1 << CODE_BITS * k) - 1)) if isinstance(x, Column) else x & ((1 << CODE_BITS * k) - 1)
+    return (ones(hi, n - LOW), lo) if n > LOW else (zero, ones(lo, n))
+
+
+def context(hi, lo):
+    """(hi, lo) of all but the last character; numpy arrays and Columns alike."""
+    if isinstance(hi, Column):
+        moved = F.shiftleft(hi.bitwiseAND(F.lit((1 << CODE_BITS) - 1)), CODE_BITS * (LOW - 1))
+        return F.shiftright(hi, CODE_BITS), F.shiftright(lo, CODE_BITS).bitwiseOR(moved)
+    return hi >> CODE_BITS, lo >> CODE_BITS | (hi & ((1 << CODE_BITS) - 1)) << (CODE_BITS * (LOW - 1))
+
+
+def gram_hash(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return mix(lo.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + hi.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def distinct(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts n-grams by hash, which sorted ones are the first of their kind, and where those stand."""
+    h = gram_hash(hi, lo)
+    order = np.argsort(h)
+    h = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    return order, new, np.flatnonzero(new)
 
 
 def count_ngrams(texts: DataFrame) -> DataFrame:
-    """(key, c) over every text of the one string column."""
+    """(hi, lo, c) over every text of the one string column."""
     ship(texts.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("ngrams")
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def counted(hi: np.ndarray, lo: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+            order, _, at = distinct(hi, lo)
+            if c is None:
+                return hi[order[at]], lo[order[at]], np.diff(np.append(at, len(order)))
+            return hi[order[at]], lo[order[at]], np.add.reduceat(c[order], at) if len(at) else c
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(inverse, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64)
+        def merged() -> tuple[np.ndarray, ...]:
+            return counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
         def sent() -> Iterator[pa.RecordBatch]:
-            k, c = merged()
+            cols = merged()
             held.clear()
-            for i in range(0, len(k), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 100_000]), pa.array(c[i : i + 100_000])], names=["key", "c"])
+            for i in range(0, len(cols[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in cols], names=["hi", "lo", "c"])
 
         for batch in batches:
             buf, off, _ = text_buffers(batch.column(0))
             for i, j in slices(off, SCAN_BYTES):
                 a, b = off[i], off[j]
                 key, _ = gram_keys(buf[a:b], off[i : j + 1] - a)
-                held.append(np.unique(key, return_counts=True))
-                if sum(len(k) for k, _ in held) > HELD_KEYS:
+                held.append(counted(key[:, 0], key[:, 1]))
+                if sum(len(k) for k, _, _ in held) > HELD_KEYS:
                     held[:] = [merged()]
                     if len(held[0][0]) > HELD_KEYS // 2:
                         yield from sent()
         if held:
             yield from sent()
 
-    return texts.mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(count, "hi long, lo long, c long").groupBy("hi", "lo").agg(F.sum("c").alias("c"))
 
 
 def _discounts(n: dict[int, int]) -> list[float]:
@@ -175,56 +200,85 @@ def _discounts(n: dict[int, int]) -> list[float]:
 
 
 def _sorted_arrays(table: DataFrame) -> list[np.ndarray]:
-    """The columns of a folded table, sorted by the first; goes by Arrow, without row objects."""
-    cols = [c.to_numpy() for c in table.toArrow().columns]
-    order = np.argsort(cols[0])
-    return [cols[0][order].astype(np.uint32), *(c[order] for c in cols[1:])]
+    """Hashes of the n-grams (hi, lo) of a table, sorted, and its other columns; goes by Arrow, without row objects."""
+    hi, lo, *cols = (c.to_numpy() for c in table.toArrow().columns)
+    h = gram_hash(hi, lo)
+    order = np.argsort(h)
+    return [h[order], *(c[order] for c in cols)]
 
 
 def train(texts: DataFrame) -> dict[str, np.ndarray]:
     """Sorted hash arrays: gram{n}/num{n} and ctx{n}/inv{n}/gam{n} for n = 1..ORDER."""
     level = stash(count_ngrams(texts), "ngrams")
     model: dict[str, np.ndarray] = {}
+    hi, lo = F.col("hi"), F.col("lo")
     for n in range(ORDER, 0, -1):
         few = {r[0]: r[1] for r in level.where("c <= 4").groupBy("c").count().collect()}
         d = _discounts(few)
         cut = F.when(F.col("c") == 1, d[1]).when(F.col("c") == 2, d[2]).otherwise(d[3])
-        grams = level.groupBy(fold(F.col("key"), FOLD[n]).alias("h")).agg(F.sum(F.col("c") - cut).cast("float").alias("num"))
-        ctx = F.shiftright("key", CODE_BITS)
-        where = fold(ctx, FOLD[n - 1]) if n > 1 else F.lit(0)
-        ctxs = level.groupBy(where.alias("h")).agg(F.sum("c").cast("double").alias("total"), F.sum(cut).alias("left"))
+        grams = level.select("hi", "lo", (F.col("c") - cut).cast("float").alias("num"))
+        own = [x.alias(k) for x, k in zip(context(hi, lo), ("hi", "lo"), strict=True)]
+        ctxs = level.select(*own, "c", cut.alias("cut")).groupBy("hi", "lo").agg(F.sum("c").cast("double").alias("total"), F.sum("cut").alias("left"))
         model[f"gram{n}"], model[f"num{n}"] = _sorted_arrays(grams)
-        model[f"ctx{n}"], model[f"inv{n}"], model[f"gam{n}"] = _sorted_arrays(ctxs.select("h", (1 / F.col("total")).cast("float"), (F.col("left") / F.col("total")).cast("float")))
+        model[f"ctx{n}"], model[f"inv{n}"], model[f"gam{n}"] = _sorted_arrays(ctxs.select("hi", "lo", (1 / F.col("total")).cast("float"), (F.col("left") / F.col("total")).cast("float")))
         if n > 1:
-            level = level.groupBy(F.col("key").bitwiseAND(F.lit((1 << CODE_BITS * (n - 1)) - 1)).alias("key")).agg(F.count("*").alias("c"))
+            shorter = [x.alias(k) for x, k in zip(last(hi, lo, n - 1), ("hi", "lo"), strict=True)]
+            level = level.select(*shorter).groupBy("hi", "lo").agg(F.count("*").alias("c"))
             if n == ORDER:
                 level = stash(level, "ngrams")
     return model
 
 
+class Index:
+    """Places of hashes in a sorted array, by the bucket of their leading bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(1, (len(keys) // BUCKET).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.uint32 if len(keys) < 1 << 32 else np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, or the number of keys where there is none."""
+        n = len(self.keys)
+        out = np.full(len(h), n, np.int64)
+        if not n:
+            return out
+        at = self.first[(h >> self.shift).astype(np.int64)].astype(np.int64)
+        todo = np.arange(len(h))
+        while len(todo):
+            key = self.keys[np.minimum(at, n - 1)]
+            hit = (key == h) & (at < n)
+            out[todo[hit]] = at[hit]
+            more = (key < h) & (at < n)
+            todo, h, at = todo[more], h[more], at[more] + 1
+        return out
+
+
 class Scorer:
-    """Log-probabilities of characters; expands the sorted arrays to direct tables once."""
+    """Log-probabilities of characters; indexes the sorted arrays once."""
 
     def __init__(self, model: dict[str, np.ndarray]):
-        self.num, self.inv, self.gam = {}, {}, {}
-        for n in range(1, ORDER + 1):
-            self.num[n] = np.zeros(1 << FOLD[n], np.float32)
-            self.num[n][model[f"gram{n}"]] = model[f"num{n}"]
-            size = 1 << FOLD[n - 1] if n > 1 else 1
-            self.inv[n], self.gam[n] = np.zeros(size, np.float32), np.ones(size, np.float32)
-            self.inv[n][model[f"ctx{n}"]] = model[f"inv{n}"]
-            self.gam[n][model[f"ctx{n}"]] = model[f"gam{n}"]
+        add = lambda x, v: np.append(x, np.float32(v)).astype(np.float32)
+        self.gram = {n: Index(model[f"gram{n}"]) for n in range(1, ORDER + 1)}
+        self.ctx = {n: Index(model[f"ctx{n}"]) for n in range(1, ORDER + 1)}
+        # the last entry is that of what was never seen
+        self.num = {n: add(model[f"num{n}"], 0) for n in range(1, ORDER + 1)}
+        self.inv = {n: add(model[f"inv{n}"], 0) for n in range(1, ORDER + 1)}
+        self.gam = {n: add(model[f"gam{n}"], 1) for n in range(1, ORDER + 1)}
 
     def logp(self, key: np.ndarray) -> np.ndarray:
-        p = np.full(len(key), 1 / CODES, np.float32)
-        ctx = np.zeros(len(key), np.int64)
+        """Of each ORDER-gram (hi, lo); repeated ones are looked up once."""
+        order, new, at = distinct(key[:, 0], key[:, 1])
+        hi, lo = key[order[at], 0], key[order[at], 1]
+        p = np.full(len(at), 1 / CODES, np.float32)
         for n in range(1, ORDER + 1):
-            gram = key & ((1 << CODE_BITS * n) - 1)
-            at = fold(gram, FOLD[n])
-            if n > 1:
-                ctx = fold(gram >> CODE_BITS, FOLD[n - 1])
-            p = self.num[n][at] * self.inv[n][ctx] + self.gam[n][ctx] * p
-        return np.log(np.maximum(p, 1e-12))
+            gram = last(hi, lo, n)
+            ctx = self.ctx[n].find(gram_hash(*context(*gram)))
+            p = self.num[n][self.gram[n].find(gram_hash(*gram))] * self.inv[n][ctx] + self.gam[n][ctx] * p
+        out = np.empty(len(key), np.float32)
+        out[order] = np.log(np.maximum(p, 1e-30))[np.cumsum(new) - 1]
+        return out
 
 
 _scorers: dict[str, Scorer] = {}

@@ -313,6 +313,23 @@ def test_kneser_ney_matches_direct_computation(spark):
         assert scorer.logp(key) == pytest.approx(want, rel=1e-3)
 
 
+def test_language_model_keeps_every_ngram_and_code_point(spark):
+    r = random.Random(12)
+    texts = ["".join(chr(0x4E00 + r.randrange(20_000)) for _ in range(400)) for _ in range(60)] + ["\U0001f600\u0e01\uac00 x\U0010ffff"]
+    grams = {n: {("\0" * 4 + t)[i + 5 - n : i + 5] for t in texts for i in range(len(t))} for n in range(1, 6)}
+    model = quality_rules.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    for n in range(1, 6):
+        assert len(np.unique(model[f"gram{n}"])) == len(grams[n])
+        assert len(np.unique(model[f"ctx{n}"])) == len({g[:-1] for g in grams[n]})
+    scorer = quality_rules.Scorer(model)
+    # after any context the probabilities of the seen characters add up to less than one
+    seen = sorted({c for t in texts for c in t})
+    for context in ("\0" * 4, texts[0][:4], texts[7][100:104], "\u4e00\u4e01\u4e02\u4e03"):
+        code = np.array([[ord(c) for c in context] + [ord(c)] for c in seen], np.int64)
+        key = np.stack([code[:, 0] << 21 | code[:, 1], code[:, 2] << 42 | code[:, 3] << 21 | code[:, 4]], 1)
+        assert np.exp(scorer.logp(key).astype(float)).sum() <= 1 + 1e-4
+
+
 # --- tokenization
 
 
