@@ -4,6 +4,10 @@ The search is sequential, so it is a numpy / heap kernel; requests spread over
 the cluster.  A move goes to one of 16 neighbours and costs its metres times the
 mean cost of the cells at its ends; cells off the terrain, under water or steeper
 than the limit block.
+
+The search covers a disk, at first a little over twice as wide as the nearest
+road is far, that doubles until the way found costs no more than its radius: a
+way that leaves the disk costs at least the radius.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from ..plans.cluster import ship
 from ..sources import terrain as T
 
 MOVES = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if math.gcd(a, b) == 1]
+# Metres: how far a way is searched, and how far the first disk goes beyond twice the nearest road's distance.
+MAX_DISTANCE, FIRST_MARGIN = 20_000.0, 1000.0
 # Cost factor by cover.
 COVER_COST = {1: 1.0, 2: 1.1, 3: 2.0, 4: 1.5, 5: 1.4, 6: 1.0, 7: math.inf}
 
@@ -58,9 +64,14 @@ def window(n: float, e: float, radius: float, max_slope: float) -> tuple[np.ndar
 
 def search(cost: np.ndarray, goal: np.ndarray, row: int, col: int) -> tuple[float, int, int]:
     """Least cost to a goal cell and that cell; infinite where none is reached. Ties go to the least row, then column."""
+    return spread(cost, goal, row, col)[0]
+
+
+def spread(cost: np.ndarray, goal: np.ndarray, row: int, col: int) -> tuple[tuple[float, int, int], np.ndarray]:
+    """What ``search`` tells, and the least costs of the cells met until then."""
     best = np.full(cost.shape, np.inf)
     if not np.isfinite(cost[row, col]):
-        return math.inf, -1, -1
+        return (math.inf, -1, -1), best
     best[row, col] = 0
     heap = [(0.0, row, col)]
     while heap:
@@ -68,7 +79,7 @@ def search(cost: np.ndarray, goal: np.ndarray, row: int, col: int) -> tuple[floa
         if d > best[r, c]:
             continue
         if goal[r, c]:
-            return d, r, c
+            return (d, r, c), best
         for a, b in MOVES:
             x, y = r + a, c + b
             if 0 <= x < cost.shape[0] and 0 <= y < cost.shape[1] and np.isfinite(cost[x, y]):
@@ -76,10 +87,42 @@ def search(cost: np.ndarray, goal: np.ndarray, row: int, col: int) -> tuple[floa
                 if new < best[x, y]:
                     best[x, y] = new
                     heapq.heappush(heap, (new, x, y))
-    return math.inf, -1, -1
+    return (math.inf, -1, -1), best
 
 
-def trafficability(requests: DataFrame, max_slope: float = 20, max_distance: float = 3000) -> DataFrame:
+def road_distance(n: float, e: float) -> float:
+    """Metres to the nearest centre line of a road."""
+    each = []
+    for _, fixed, a, b, north in T.ROADS:
+        across, along = (e, n) if north else (n, e)
+        each.append(math.hypot(across - fixed, along - min(max(along, a), b)))
+    return min(each)
+
+
+def way(n: float, e: float, max_slope: float, max_distance: float) -> tuple[float, int, int]:
+    """Least cost from a point to a road and the road's row and column on the terrain; infinite where none is reached."""
+    distance = road_distance(n, e)
+    if distance > max_distance:
+        return math.inf, -1, -1
+    reach = min(2 * distance + FIRST_MARGIN, max_distance)
+    while True:
+        # two cells more, so that slopes at the rim of the disk are not those of a window's edge
+        cost, road, i, j = window(n, e, reach + 2 * T.CELL, max_slope)
+        r0, c0 = int(n // T.CELL) - i, int(e // T.CELL) - j
+        r, c = np.ogrid[r0 : r0 + cost.shape[0], c0 : c0 + cost.shape[1]]
+        far = np.hypot((r + 0.5) * T.CELL - n, (c + 0.5) * T.CELL - e)
+        outside = far > reach
+        outside[i, j] = False
+        cost[outside] = np.inf
+        (d, x, y), best = spread(cost, road, i, j)
+        # no cell met within one move of the rim: what lies beyond changes nothing
+        closed = not (np.isfinite(best) & (far > reach - 3 * T.CELL)).any()
+        if d <= reach or reach >= max_distance or (d == math.inf and closed):
+            return d, r0 + x, c0 + y
+        reach = min(2 * reach, max_distance)
+
+
+def trafficability(requests: DataFrame, max_slope: float = 20, max_distance: float = MAX_DISTANCE) -> DataFrame:
     """(id, reachable, cost, road_n, road_e) of each (id, n, e): the least-cost way to a road within the distance."""
 
     ship(requests.sparkSession)
@@ -88,10 +131,9 @@ def trafficability(requests: DataFrame, max_slope: float = 20, max_distance: flo
         for f in frames:
             rows = []
             for r in f.itertuples(index=False):
-                cost, road, i, j = window(r.n, r.e, max_distance, max_slope)
-                d, x, y = search(cost, road, i, j)
+                d, x, y = way(r.n, r.e, max_slope, max_distance)
                 ok = d < math.inf
-                rows.append((r.id, ok, round(d, 3) if ok else None, (int(r.n // 50) - i + x) * 50.0 + 25 if ok else None, (int(r.e // 50) - j + y) * 50.0 + 25 if ok else None))
+                rows.append((r.id, ok, round(d, 3) if ok else None, x * 50.0 + 25 if ok else None, y * 50.0 + 25 if ok else None))
             yield pd.DataFrame(rows, columns=["id", "reachable", "cost", "road_n", "road_e"])
 
     return requests.select("id", "n", "e").mapInPandas(run, "id long, reachable boolean, cost double, road_n double, road_e double")

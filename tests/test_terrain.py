@@ -86,6 +86,29 @@ def test_trafficability_runs(spark):
     assert len(got) == 25 and any(r["reachable"] for r in got)
 
 
+def test_off_road_search_reaches_far_roads_and_round_walls(monkeypatch):
+    for n, e in ((47919, 41729), (40000, 27000)):
+        distance = offroad.road_distance(n, e)
+        cost, road, i, j = offroad.window(n, e, 2.5 * distance, 20)
+        assert distance > 4000
+        assert offroad.way(n, e, 20, 20_000)[0] == pytest.approx(offroad.search(cost, road, i, j)[0])
+        assert offroad.way(n, e, 20, 3000)[0] == math.inf
+
+    cost, road = np.ones((401, 401)), np.zeros((401, 401), bool)
+    cost[160:241, 203:205] = np.inf  # the way round the wall leaves the first disk
+    road[200, 205] = True
+
+    def window(n, e, radius, max_slope):
+        k = int(radius // 50)
+        return cost[200 - k : 201 + k, 200 - k : 201 + k].copy(), road[200 - k : 201 + k, 200 - k : 201 + k], k, k
+
+    monkeypatch.setattr(offroad, "window", window)
+    monkeypatch.setattr(offroad, "road_distance", lambda n, e: 250.0)
+    want = offroad.search(cost, road, 200, 200)
+    assert want[0] > 4000 and offroad.way(10_025.0, 10_025.0, 20, 9000) == pytest.approx(want)
+    assert offroad.way(10_025.0, 10_025.0, 20, 1500)[0] == math.inf
+
+
 def test_lines_are_answered_in_isolation(spark, tmp_path):
     lines = ['{"op":"sample","n":47000,"e":30000}', "not json", '{"op":"nope","n":1,"e":1}', '{"op":"nearest","n":56000,"e":30000}', '{"op":"geo"}']
     (tmp_path / "in").mkdir()
