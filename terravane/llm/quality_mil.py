@@ -2,7 +2,9 @@
 
 A text is a bag of passages (``PASSAGE`` words each).  A passage is encoded as
 the mean of hashed embeddings of its words (the word, its ends, length and shape)
-plus its rates of repetition, squashed by tanh.  Gated attention ``w . (tanh(V h) * sigmoid(U h))``
+plus its rates of repetition, squashed by tanh.  A word of more than ``LONG``
+characters counts as pieces of ``PIECE``, and what is written in a script without
+spaces as pieces of two characters, so passages cover every character.  Gated attention ``w . (tanh(V h) * sigmoid(U h))``
 weighs the passages, and a logistic unit scores the weighted representation.
 All of it is learned from document labels by Adam in numpy.
 
@@ -15,6 +17,7 @@ with no labelled row every score is 0.5; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +32,12 @@ from .common import mix, ship
 
 BITS, DIM, GATE = 14, 16, 8
 PASSAGE = 64
+#: A longer word is cut; the first and last three characters of a piece are all of it.
+LONG, PIECE = 24, 6
+#: Thai to Tibetan, Myanmar, Khmer, kana, ideographs.
+_unspaced = "\u0e01-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+UNSPACED = re.compile(f"[{_unspaced}]")
+PARTS = re.compile(f"[{_unspaced}]{{1,2}}|[^{_unspaced}]+")
 #: Labelled rows used for training, about this many for each label.
 SAMPLE_PER_LABEL = 1500
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -60,9 +69,19 @@ def word_features(words: list[str]) -> np.ndarray:
     return (mix(out + np.arange(FEATURES, dtype=np.uint64) * _MUL) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, long and unspaced ones in pieces."""
+    words = text.split()
+    if not text.isascii() and UNSPACED.search(text):
+        words = [p for w in words for p in PARTS.findall(w)]
+    if max(map(len, words), default=0) > LONG:
+        words = [p for w in words for p in ([w] if len(w) <= LONG else [w[i : i + PIECE] for i in range(0, len(w), PIECE)])]
+    return words
+
+
 def passages(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words, word numbers, first word of each passage, first passage of each text."""
-    split = [t.split() if t else [] for t in texts]
+    split = [words_of(t) if t else [] for t in texts]
     n = np.array([len(s) for s in split], np.int64)
     codes, words = pd.factorize(np.array([w for s in split for w in s], dtype=object)) if n.sum() else (np.zeros(0, np.int64), [])
     per = -(-n // PASSAGE)

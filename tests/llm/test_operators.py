@@ -252,6 +252,19 @@ def test_quality_model_separates_and_scores_edges(spark, docs, empty):
     assert set(quality_mil.fit([], []).scores(["a", None])) == {0.5}
 
 
+def test_quality_covers_texts_without_spaces():
+    r = random.Random(8)
+    blob = lambda letters: "q7!Xz#" + "".join(r.choice(letters) for _ in range(400)) + "end"
+    for good, bad in (("\u5929\u5730\u7384\u9ec4\u5b87\u5b99", "\u8d4c\u535a\u5f69\u7968\u94b1\u8d37"), ("\u0e01\u0e02\u0e04\u0e07", "\u0e08\u0e09\u0e0a\u0e0b"), ("abcd", "WXYZ")):
+        made = [blob(good) for _ in range(100)], [blob(bad) for _ in range(100)]
+        model = quality_mil.fit(made[0] + made[1], [1] * 100 + [0] * 100)
+        s = model.scores([*(blob(good) for _ in range(20)), *(blob(bad) for _ in range(20))])
+        assert s[:20].min() > 0.5 > s[20:].max()
+    for t in ("x" * 1000 + " y", "\u5929\u5730abc\u7384" * 50, "caf\u00e9 " * 9, "\u0e01" * 7):
+        assert "".join(quality_mil.words_of(t)) == "".join(t.split())
+    assert quality_mil.words_of("internationalization of caf\u00e9s") == ["internationalization", "of", "caf\u00e9s"]
+
+
 def brute_base_counts(text):
     text = text or ""
     words = WORD.findall(text)
