@@ -52,7 +52,7 @@ def nearest_road(points: str) -> str:
 
 
 def point_info(points: str) -> str:
-    """Layers, slope and aspect of the cell, nearest town with bearing and wording, latitude and longitude."""
+    """Height, water and cover, nearest town with bearing and wording, latitude and longitude."""
     towns = f"(SELECT ord, name, n AS fn, e AS fe FROM {T.towns()} t)"
     near = f"(SELECT id, name AS town, fn - n AS dn, fe - e AS de, sqrt(d2) AS distance FROM ({_ranked(points, towns, 'ord', 1)}) z)"
     # the bearing is read from the town to the point

@@ -91,7 +91,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def towns(links: DataFrame, objects: DataFrame) -> DataFrame:
-    """Settlements of three buildings or more: buildings, floor, centre, hectares, size and bounds."""
+    """Settlements of three buildings or more: buildings, floor, centre, hectares and size."""
     known = components(links).join(objects, "id")
     floor = F.col("w") * F.col("d") * F.greatest(F.lit(1.0), F.floor(F.col("tall") / 3 + 0.5))
     per = known.groupBy("place").agg(
