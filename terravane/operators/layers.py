@@ -36,7 +36,7 @@ def disk_layers(row: int, rows: int, col: int, cols: int, radius: int = 300) ->
 
 
 def distance_layer(row: int, rows: int, col: int, cols: int, seed: str, cap: int = CAP) -> str:
-    """Exact distance between cell centres to the nearest seed cell, null beyond the cap.
+    """Exact distance between cell centres to the nearest seed cell; cells beyond the cap are left out.
 
     Along each column the nearest seed row comes from two windows; then every
     cell takes the least squared distance over the columns within the cap.
