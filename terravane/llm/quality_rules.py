@@ -20,6 +20,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, hold, mix, ship, slices, span_hashes, stash, text_buffers, word_bounds
+from .common import give_back, hold, mix, ship, slices, span_hashes, spans_equal, stash, text_buffers, word_bounds
 
 ORDER = 5
 CODE_BITS = 21
@@ -64,6 +65,19 @@ def _repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, same
 
 
+def _alike(buf: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]], row: np.ndarray, order: np.ndarray, same: np.ndarray) -> bool:
+    """Whether everything that hashes like the entry before it also has its bytes, span by span, and its row."""
+    b = np.flatnonzero(same)
+    a, b = order[b - 1], order[b]
+    if not (row[a] == row[b]).all():
+        return False
+    for starts, ends in parts:
+        size = ends[a] - starts[a]
+        if not ((size == ends[b] - starts[b]).all() and spans_equal(buf, starts[a], starts[b], size).all()):
+            return False
+    return True
+
+
 def base_counts(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     """The base statistics of each row; ``off`` starts at 0 and covers ``buf``."""
     rows = len(off) - 1
@@ -85,7 +99,12 @@ def base_counts(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     keep = words_before[1] > words_before[0]
     ls, le, lrow = ls[keep], le[keep], lrow[keep]
     order, same = _repeats(mix(span_hashes(buf, ls, le) ^ mix(lrow.astype(np.uint64))))
-    out["n_dup_lines"] = np.bincount(lrow[order][same], minlength=rows)
+    if _alike(buf, [(ls, le)], lrow, order, same):
+        out["n_dup_lines"] = np.bincount(lrow[order][same], minlength=rows)
+    else:
+        out["n_dup_lines"] = np.zeros(rows, np.int64)
+        for (r, _), n in Counter((r, buf[a:e].tobytes()) for a, e, r in zip(ls, le, lrow.tolist(), strict=True)).items():
+            out["n_dup_lines"][r] += n - 1
     wh = span_hashes(buf, starts, ends)
     n = len(wh) - 2
     covered = np.zeros(len(wh), bool)
@@ -96,6 +115,10 @@ def base_counts(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         both = same.copy()
         both[:-1] |= same[1:]
         at = inside[order[both]]
+        if not _alike(buf, [(starts[inside + k], ends[inside + k]) for k in range(3)], row[inside], order, same):
+            words = [buf[a:e].tobytes() for a, e in zip(starts, ends, strict=True)]
+            found = Counter((row[i], *words[i : i + 3]) for i in inside.tolist())
+            at = np.array([i for i in inside.tolist() if found[row[i], *words[i : i + 3]] > 1], np.int64)
         for k in range(3):
             covered[at + k] = True
     out["n_repeat_words"] = np.bincount(row[covered], minlength=rows)
@@ -293,8 +316,8 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text",
     sent = carry if text_col in carry else [*carry, text_col]
     at, names = sent.index(text_col), [f"__tv_{i}" for i in range(len(sent))]
     inner = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(sent, names, strict=True)))
-    fields = [*(f"__q_{f}" for f in BASE_FIELDS), "__q_chars"]
-    schema = T.StructType([*inner.schema.fields[: len(carry)], *(T.StructField(f, T.LongType()) for f in fields), T.StructField("__q_log_ppl", T.DoubleType())])
+    fields = [*(f"__tv_q_{f}" for f in BASE_FIELDS), "__tv_q_chars"]
+    schema = T.StructType([*inner.schema.fields[: len(carry)], *(T.StructField(f, T.LongType()) for f in fields), T.StructField("__tv_q_log_ppl", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("quality_rules", _scorers.clear)
@@ -328,7 +351,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *new, pa.array(ppl, mask=chars == 0)], names=schema.names)
 
     out = inner.mapInArrow(run, schema)
-    return out.select(*(F.col(n).alias(c) for c, n in zip(carry, names, strict=False)), *fields, "__q_log_ppl")
+    return out.select(*(F.col(n).alias(c) for c, n in zip(carry, names, strict=False)), *fields, "__tv_q_log_ppl")
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, reach: float = 4.0, narrowest: float = 0.05) -> DataFrame:
@@ -338,16 +361,16 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry
     """
     spark = docs.sparkSession
     carry = docs.columns if carry is None else carry
-    held = docs.withColumn("__q_lang", F.coalesce(F.concat(F.lit("s"), F.col(f"`{lang_col}`")), F.lit("z")))
-    scored = stash(score(held, train(docs.select(F.col(f"`{text_col}`").alias("text"))), text_col, [*carry, "__q_lang"]), "rules")
-    failed = (F.col("__q_n_words") < 50) | (F.col("__q_n_repeat_words") * 100 > F.col("__q_n_words") * 50)
-    q = F.percentile_approx("__q_log_ppl", [0.25, 0.75], 10000)
-    bands = scored.where(~failed).groupBy("__q_lang").agg(q.alias("q"))
+    held = docs.withColumn("__tv_q_lang", F.coalesce(F.concat(F.lit("s"), F.col(f"`{lang_col}`")), F.lit("z")))
+    scored = stash(score(held, train(docs.select(F.col(f"`{text_col}`").alias("text"))), text_col, [*carry, "__tv_q_lang"]), "rules")
+    failed = (F.col("__tv_q_n_words") < 50) | (F.col("__tv_q_n_repeat_words") * 100 > F.col("__tv_q_n_words") * 50)
+    q = F.percentile_approx("__tv_q_log_ppl", [0.25, 0.75], 10000)
+    bands = scored.where(~failed).groupBy("__tv_q_lang").agg(q.alias("q"))
     wide = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(narrowest)) * reach
-    bands = stash(bands.select("__q_lang", (F.col("q")[0] - wide).alias("__q_low"), (F.col("q")[1] + wide).alias("__q_high")), "bands")
+    bands = stash(bands.select("__tv_q_lang", (F.col("q")[0] - wide).alias("__tv_q_low"), (F.col("q")[1] + wide).alias("__tv_q_high")), "bands")
     few = bands.limit(BAND_LANGUAGES + 1).collect()
     if len(few) <= BAND_LANGUAGES:
         bands = F.broadcast(spark.createDataFrame(few, bands.schema))
-    inside = F.coalesce(F.col("__q_log_ppl").between(F.col("__q_low"), F.col("__q_high")), F.lit(True))
-    rules = F.struct(*(F.col(f"__q_{f}").alias(f) for f in BASE_FIELDS), failed.alias("base_failed"), F.col("__q_log_ppl").alias("log_ppl"), (~failed & inside).alias("kept"))
-    return scored.join(bands, "__q_lang", "left").select(*(F.col(f"`{c}`") for c in carry), rules.alias("__tv_rules"))
+    inside = F.coalesce(F.col("__tv_q_log_ppl").between(F.col("__tv_q_low"), F.col("__tv_q_high")), F.lit(True))
+    rules = F.struct(*(F.col(f"__tv_q_{f}").alias(f) for f in BASE_FIELDS), failed.alias("base_failed"), F.col("__tv_q_log_ppl").alias("log_ppl"), (~failed & inside).alias("kept"))
+    return scored.join(bands, "__tv_q_lang", "left").select(*(F.col(f"`{c}`") for c in carry), rules.alias("__tv_rules"))
