@@ -5,11 +5,13 @@ for the least hash of its bucket, the count of leading zeros and the mantissa
 bits after them (6 + 10 bits); empty buckets borrow from a bucket drawn by a
 fixed random order, so bands keep their collision probability on short texts.
 
-1. Texts with equal sets form a class; one representative stands for it.
+1. Texts of equal word sequences (by a 128-bit cryptographic digest) form a class;
+   one representative stands for it.
 2. Bands of registers make buckets.  Each bucket hands its members to its least
    and greatest one, never all pairs; pairs pass a 128-bit sketch of the
    registers, the collision-corrected Jaccard estimate, and last the exact test
-   on the full shingle sets of the texts.
+   on the full shingle sets of the texts, where shingles that hash alike count as
+   common only if their bytes are equal.
 3. Only where a bucket still holds several components are the members outside
    its first component compared with the rest, register by register in tiles.
 
@@ -18,12 +20,13 @@ band with probability 2e-5.
 
 Defined results: a null or blank text has no shingles and links with nothing; a
 text of fewer words than a shingle is one shingle; rows that share an id are one
-node; a row without an id links with nothing, has no component and is kept; an
-empty table gives no rows.
+node; a row without an id links with nothing, has no component and is kept; ids
+must be whole numbers; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, hold, lower_ascii, mix, partitions, ship, slices, span_hashes, stash, text_buffers, word_bounds
+from .common import append_columns, hold, lower_ascii, mix, partitions, ship, slices, space_mask, span_hashes, spans_equal, stash, text_buffers, whole_number_id, word_bounds
 from .components import connected_components
 
 SHINGLE = 5
@@ -43,6 +46,8 @@ SKETCH_BITS = 36
 #: Standard errors by which an estimate may fall short of the threshold.
 ESTIMATE_SLACK = 4.0
 MEMBERS = 256
+#: Copies of a hub's sketch, dealt out with its partners.
+HUB_SALTS = 16
 TILE = 512
 #: Sets up to this size are compared exactly inside a bucket and signed with replicas.
 SHORT, REPLICAS = 342, 16
@@ -50,31 +55,78 @@ SHORT, REPLICAS = 342, 16
 SKETCHED = 1000
 
 
-def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int = SHINGLE) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each row; ``off`` starts at 0 and covers ``buf``."""
+def words_in(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, and the start, end and row of each word; ``off`` starts at 0 and covers ``buf``."""
     buf = lower_ascii(buf)
-    starts, ends, row = word_bounds(buf, off)
+    return buf, *word_bounds(buf, off)
+
+
+def shingles(words: tuple[np.ndarray, ...], rows: int, width: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The sorted distinct shingle hashes of each row, and the word that each one first starts with."""
+    buf, starts, ends, row = words
     wh = span_hashes(buf, starts, ends)
     n = len(wh) - width + 1
     sh = np.zeros(max(n, 0), np.uint64)
     for k in range(width):
         sh = mix(sh + wh[k : k + len(sh)])
-    per = np.searchsorted(row, np.arange(len(off)))
+    per = np.searchsorted(row, np.arange(rows + 1))
     out = []
-    for i in range(len(off) - 1):
+    for i in range(rows):
         a, b = per[i], per[i + 1]
         if b - a >= width:
-            out.append(np.unique(sh[a : b - width + 1]))
+            h, at = np.unique(sh[a : b - width + 1], return_index=True)
+            out.append((h, at + a))
         elif b > a:
             h = np.array([b - a], np.uint64)
             for w in wh[a:b]:
                 h = mix(h + w)
-            out.append(h)
+            out.append((h, np.array([a])))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     return out
 
 
+def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int = SHINGLE) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each row; ``off`` starts at 0 and covers ``buf``."""
+    return [h for h, _ in shingles(words_in(buf, off), len(off) - 1, width)]
+
+
+def digests(words: tuple[np.ndarray, ...], off: np.ndarray) -> np.ndarray:
+    """A 128-bit digest of each row's words, joined by one space, as two longs."""
+    buf, _, ends, _ = words
+    space = space_mask(buf)
+    keep = ~space
+    keep[ends[ends < len(buf)]] = True
+    joined = np.where(space, np.uint8(32), buf)[keep]
+    at = np.concatenate([[0], np.cumsum(keep)])[off]
+    each = [hashlib.blake2b(joined[a:b].tobytes().rstrip(b" "), digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
+    return np.frombuffer(b"".join(each), np.int64).reshape(-1, 2)
+
+
+class Shingled:
+    """A text's shingles with the bytes of its words, for the exact test."""
+
+    def __init__(self, words: tuple[np.ndarray, ...], hashes: np.ndarray, first: np.ndarray, row: int):
+        buf, starts, ends, rows = words
+        a, b = np.searchsorted(rows, [row, row + 1])
+        self.hashes, self.first, self.count = hashes, first - a, int(b - a)
+        low, high = (starts[a], ends[b - 1]) if b > a else (0, 0)
+        self.buf, self.starts, self.ends = buf[low:high].copy(), starts[a:b] - low, ends[a:b] - low
+
+    def common(self, other: Shingled) -> int:
+        """Shingles that both hold, byte for byte."""
+        if not len(self.hashes) or not len(other.hashes) or min(self.count, other.count) < SHINGLE and self.count != other.count:
+            return 0
+        at = np.minimum(np.searchsorted(self.hashes, other.hashes), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[at] == other.hashes)
+        i, j = self.first[at[hit]], other.first[hit]
+        same = np.ones(len(hit), bool)
+        for k in range(min(SHINGLE, self.count)):
+            size = self.ends[i + k] - self.starts[i + k]
+            same &= (size == other.ends[j + k] - other.starts[j + k]) & spans_equal(self.buf, self.starts[i + k], other.starts[j + k], size, other.buf)
+        return int(same.sum())
+
+
 _donors = (mix(np.arange(REGISTERS * 64, dtype=np.uint64) + np.uint64(77)) % np.uint64(REGISTERS)).astype(np.int64).reshape(64, REGISTERS)
 
 
@@ -146,7 +198,7 @@ def sign(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, k1, k2, bands, s1, s2): set size, set fingerprint, band hashes, sketch of long texts."""
+    """(id, n, k1, k2, bands, s1, s2): set size, digest of the words, band hashes, sketch of long texts."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,23 +207,18 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             ids = batch.column(0)
             buf, off, _ = text_buffers(batch.column(1))
             for i, j in slices(off):
-                sets = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                words = words_in(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                sets = [h for h, _ in shingles(words, j - i)]
                 n = np.array([len(s) for s in sets], np.int64)
-                some = np.flatnonzero(n)
-                k = np.zeros((2, j - i), np.int64)
-                if len(some):
-                    flat = np.concatenate([sets[x] for x in some])
-                    at = np.concatenate([[0], np.cumsum(n[some])[:-1]])
-                    k[0, some] = np.add.reduceat(mix(flat + np.uint64(1)), at).view(np.int64)
-                    k[1, some] = np.add.reduceat(mix(flat + np.uint64(2)), at).view(np.int64)
+                k = digests(words, off[i : j + 1] - off[i])
                 bands, regs = sign(sets)
                 bits = (mix(regs[:, :128].astype(np.uint64) + (np.arange(128, dtype=np.uint64) << np.uint64(16))) >> np.uint64(7)).astype(np.uint8) & 1
                 sketch = np.packbits(bits, axis=1).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * 2 * BANDS, 2 * BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))
-                cols = [ids.slice(i, j - i), pa.array(n), pa.array(k[0]), pa.array(k[1]), lists, pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy())]
+                cols = [ids.slice(i, j - i), pa.array(n), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), lists, pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy())]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "k1", "k2", "bands", "s1", "s2"])
 
-    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    plain = docs.select(whole_number_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text"))
     return plain.mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>, s1 long, s2 long")
 
 
@@ -200,6 +247,16 @@ def _least_estimate(percent: int, n: np.ndarray | int) -> np.ndarray:
     return t - ESTIMATE_SLACK * (t * (1 - t) / full) ** 0.5
 
 
+def _dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) with a ``salt`` that deals out the partners of a hub ``a``, and (a, salt) once each.
+
+    No task holds more than about ``MEMBERS`` partners of one ``a``.
+    """
+    hubs = stash(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts")).where("salts > 1"), "minhash-hubs")
+    dealt = pairs.join(hubs, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    return dealt, dealt.select("a", "salt").distinct()
+
+
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) but those whose estimate misses the threshold by more than the slack; short texts all pass."""
 
@@ -213,7 +270,8 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yield b.select([0, 1]).filter(pa.array(keep))
 
     end = lambda e: nodes.select(F.col("id").alias(e), F.col("reg").alias(f"r{e}"), F.col("n").alias(f"n{e}"))
-    both = pairs.join(end("a"), "a").join(end("b"), "b")
+    dealt, heads = _dealt(pairs)
+    both = dealt.join(end("b"), "b").join(heads.join(end("a"), "a"), ["a", "salt"])
     return both.select("a", "b", "ra", "rb", F.least("na", "nb").alias("n")).mapInArrow(run, "a long, b long")
 
 
@@ -225,7 +283,7 @@ def _strays(inside: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     other components.  A bucket is dealt out as tiles of at most ``TILE`` members
     by ``TILE`` strays; registers are compared inside a tile, and a pair is
     reported in the first band that it shares only.  Two short texts are compared
-    exactly right there.
+    exactly right there, and a tile reports one such link for two components.
     """
     spark = inside.sparkSession
     sizes = inside.groupBy("h").agg(F.ceil(F.count("*") / TILE).alias("ms"), F.ceil(F.sum((F.col("c") != F.col("lead")).cast("int")) / TILE).alias("ss"))
@@ -244,7 +302,7 @@ def _strays(inside: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         for i in np.flatnonzero(n > 0.75 * SHORT):
             regs[i] = np.frombuffer(rows[i][10], np.uint16)
         sets = [np.frombuffer(r[11], np.uint64) for r in rows]
-        found = []
+        found, joined = [], set()
         m = np.flatnonzero(role == 1)
         for s in np.flatnonzero(role == 0):
             o = m[(c[m] != c[s]) & ((c[m] == lead[s]) | (ids[m] < ids[s])) & (100 * np.minimum(n[m], n[s]) >= percent * np.maximum(n[m], n[s]))]
@@ -260,7 +318,9 @@ def _strays(inside: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             rough = o[n[o] > SHORT] if n[s] <= SHORT else o
             if len(rough):
                 rough = rough[estimate(regs[rough], regs[s]) >= _least_estimate(percent, np.minimum(n[rough], n[s]))]
-            found += [(min(ids[s], i), max(ids[s], i)) for i in (*ids[exact], *ids[rough])]
+            # a link between two components is as good as all of theirs
+            witness = [k for k in exact.tolist() if (pair := (min(c[s], c[k]), max(c[s], c[k]))) not in joined and not joined.add(pair)]
+            found += [(min(ids[s], i), max(ids[s], i)) for i in (*ids[witness], *ids[rough])]
         return np.array(found, np.int64).reshape(-1, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,10 +348,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     pair; a task streams through them and holds the sets of one ``a`` at a time.
     """
     spark = pairs.sparkSession
-    salt = F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
-    heads = counts.select("a", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("id"))
-    members = pairs.join(counts, "a").select("a", salt.alias("salt"), F.lit(1).alias("role"), F.col("b").alias("id"))
+    dealt, heads = _dealt(pairs)
+    heads = heads.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("id"))
+    members = dealt.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("id"))
     work = heads.unionByName(members).join(nodes.select("id", "text"), "id").select("a", "salt", "role", "id", "text")
     work = work.repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", "role")
 
@@ -302,12 +361,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             buf, off, _ = text_buffers(batch.column(4))
             out = []
             for i, j in slices(off):
-                for x, s in enumerate(shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i]), i):
+                words = words_in(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                for x, (h, first) in enumerate(shingles(words, j - i), i):
                     if a[x] != now:
                         now, heads_now = a[x], []
+                    s = Shingled(words, h, first, x - i)
                     if role[x] == 0:
                         heads_now.append(s)
-                    elif any(100 * (c := np.isin(s, h, assume_unique=True, kind="sort").sum()) >= percent * (len(s) + len(h) - c) and c for h in heads_now):
+                    elif any((c := s.common(o)) and 100 * c >= percent * (len(h) + len(o.hashes) - c) for o in heads_now):
                         out.append((a[x], ids[x]))
             made = np.array(out, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy())], names=["a", "b"])
@@ -324,32 +385,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = reps.select("id", F.posexplode("bands").alias("j", "h")).where("h <> 0")
     ends = stash(member.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"), "minhash-buckets")
     star = stash(member.join(ends, "h").select("h", "j", "id", "lo", "hi"), "minhash-members")
-    ordered = lambda x, y: star.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = ordered("id", "lo").unionByName(ordered("id", "hi")).distinct()
+    # a hub is always ``a``: its partners can be dealt out
+    pairs = star.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
+    pairs = pairs.unionByName(star.where("id <> lo and id <> hi").select(F.col("hi").alias("a"), F.col("id").alias("b"))).distinct()
     sketch = lambda end: reps.select(F.col("id").alias(end), F.struct("n", "s1", "s2").alias(f"s{end}"))
+    pairs, every = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(HUB_SALTS))), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HUB_SALTS - 1).cast("long")))
     apart = F.bit_count(F.col("sa.s1").bitwiseXOR(F.col("sb.s1"))) + F.bit_count(F.col("sa.s2").bitwiseXOR(F.col("sb.s2")))
     low, high = F.least("sa.n", "sb.n"), F.greatest("sa.n", "sb.n")
     fits = (low * 100 >= high * percent) & ((low < SKETCHED) | (apart <= SKETCH_BITS))
-    pairs = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(fits).select("a", "b").distinct()
+    pairs = pairs.join(sketch("b"), "b").join(sketch("a").withColumn("salt", every), ["a", "salt"]).where(fits).select("a", "b")
 
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    texts = docs.select(whole_number_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text"))
     nodes = stash(_signed(texts.join(star.select("id").distinct(), "id", "left_semi")), "minhash-nodes")
-    tested = stash(_estimated(pairs, nodes, percent).distinct(), "minhash-pairs")
+    tested = stash(_estimated(stash(pairs, "minhash-fitting"), nodes, percent), "minhash-pairs")
     links = stash(_verified(tested, nodes, percent), "minhash-links")
     first = stash(connected_components(links), "minhash-components").select(F.col("node").alias("id"), F.col("component").alias("c"))
 
     labelled = star.join(first, "id", "left").select("h", "j", "id", F.coalesce("c", "id").alias("c"))
     mixed = stash(labelled.groupBy("h").agg(F.min("c").alias("lead"), F.max("c").alias("top")).where("lead < top").select("h", "lead"), "minhash-mixed")
     more = _strays(stash(labelled.join(mixed, "h"), "minhash-mixed-members"), nodes, percent)
-    more = stash(more.join(tested, ["a", "b"], "left_anti"), "minhash-more-pairs")
+    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = stash(more.join(known, ["a", "b"], "left_anti"), "minhash-more-pairs")
     if more.limit(1).count():
         links = links.unionByName(stash(_verified(more, nodes, percent), "minhash-more-links"))
         first = stash(connected_components(links), "minhash-components").select(F.col("node").alias("id"), F.col("component").alias("c"))
 
-    sets = reps.select("k1", "k2", "id").join(first, "id", "left").select("k1", "k2", F.coalesce("c", "id").alias("component_id"))
+    words = reps.select("k1", "k2", "id").join(first, "id", "left").select("k1", "k2", F.coalesce("c", "id").alias("component_id"))
     light = sig.select("id", "n", "k1", "k2")
     single = light.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
-    return light.where("n > 0 and id is not null").join(sets, ["k1", "k2"]).select("id", "n", "component_id").unionByName(single).withColumnRenamed("n", "n_shingles")
+    return light.where("n > 0 and id is not null").join(words, ["k1", "k2"]).select("id", "n", "component_id").unionByName(single).withColumnRenamed("n", "n_shingles")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
