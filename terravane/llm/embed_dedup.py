@@ -15,8 +15,9 @@ tiles emit numbers of links and a spanning forest, never the pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components link with nothing; vectors of different length do not link; equal
-vectors are joined before the search; a row without an id links with nothing,
-has no component and is kept; an empty table gives no rows.
+vectors are joined before the search; rows that share an id are vectors of their
+own; a row without an id links with nothing, has no component and is kept; ids
+must be whole numbers; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.cluster import ship
-from .common import partitions, stash
+from .common import partitions, stash, whole_number_id
 from .components import connected_components
 
-BLOCK = 8
+BLOCK = 16
 #: Rows of one kind in a tile at most.
 TILE = 32_768
 _SLACK = 1e-9
@@ -57,6 +58,14 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """A vector whose squared length is a normal number: very large or small ones are moved by a power of two."""
+    with np.errstate(over="ignore", under="ignore"):
+        if 1e-60 < float(x @ x) < 1e60:
+            return x
+    return np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
+
+
 def packed(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, d, raw): the components of usable vectors as bytes, of the width they have; d is 0 for the others."""
     ship(vectors.sparkSession)
@@ -67,12 +76,12 @@ def packed(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             size, raw = [], []
             for v in batch.column(1):
                 x = None if not v.is_valid else v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                ok = x is not None and len(x) and np.isfinite(x).all() and 0 < (s := float(x @ x)) < np.inf
+                ok = x is not None and len(x) and np.isfinite(x).all() and x.any()
                 size.append(len(x) if ok else 0)
-                raw.append(x.astype(wide).tobytes() if ok else b"")
+                raw.append(scaled(x).astype(wide).tobytes() if ok else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), pa.array(raw, pa.binary())], names=["id", "d", "raw"])
 
-    return vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").alias("v")).mapInArrow(run, "id long, d int, raw binary")
+    return vectors.select(whole_number_id(vectors, id_col).alias("id"), F.col(f"`{vec_col}`").alias("v")).mapInArrow(run, "id long, d int, raw binary")
 
 
 def _placed(classes: DataFrame, threshold: float) -> DataFrame:
@@ -175,14 +184,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     spark = vectors.sparkSession
     rows = stash(packed(vectors, id_col, vec_col), "vectors")
     good = rows.where("d > 0 and id is not null")
-    classes = stash(good.groupBy("d", "raw").agg(F.min("id").alias("id"), F.count("*").alias("n")), "vector-classes")
+    # ``id`` is a class's own number from here on, ``low`` the least id of its vectors
+    classes = good.groupBy("d", "raw").agg(F.min("id").alias("low"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id())
+    classes = stash(classes, "vector-classes")
     placed = stash(_placed(classes, threshold), "vector-places")
     # one row for each cell: their number follows the blocks and the radius, not the vectors
     sizes = placed.groupBy("d", "b", "cell").agg(F.sum(1 - F.col("role")).alias("homes"), F.sum("role").alias("probes")).where("homes > 0 and probes > 0")
     total = classes.count()
     most = max(2048, min(TILE, int(total * 24 / (4 * partitions(spark)) + 1)))
     tiles = sizes.select("d", "b", "cell", F.ceil(F.col("homes") / most).alias("hs"), F.ceil(F.col("probes") / (2 * most)).alias("ps"))
-    sized = placed.join(tiles, ["d", "b", "cell"])
+    # a coordinate of a unit vector lies in -1..1: a block has at most 1 / r + 3 cells, whatever the table holds
+    sized = placed.join(F.broadcast(tiles), ["d", "b", "cell"])
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))
     one = lambda c: F.array(c)
@@ -219,7 +231,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     found = stash(work.mapInArrow(run, "id long, links long, root long"), "vector-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("id <> root"), "id", "root").withColumnRenamed("node", "id")
-    known = classes.join(links, "id", "left").join(parts, "id", "left")
-    known = known.select("d", "raw", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    known = classes.join(links, "id", "left").join(parts, "id", "left").select("d", "raw", "low", "n", "links", F.coalesce("component", "id").alias("c"))
+    known = known.join(known.groupBy("c").agg(F.min("low").alias("component_id")), "c")
+    known = known.select("d", "raw", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     alone = rows.where("not (d > 0 and id is not null)").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return good.join(known, ["d", "raw"]).select("id", "n_links", "component_id").unionByName(alone)
