@@ -152,6 +152,14 @@ def test_vectors_match_brute_force(spark):
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_any_length_and_repeated_ids(spark):
+    rows = [(0, [1.0, 1.0, 0.0, 0.0]), (1, [1e200, 1e200, 0.0, 0.0]), (2, [1e-200, 1e-200, 0.0, 0.0]), (3, [0.0, 0.0, 1.0, 0.0]), (4, [5e-324, 0.0, 0.0, 0.0]), (5, [0.0, 0.0, 2.0, 0.1]), (5, [1.0, 0.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0, 0.0])]
+    got = sorted((r["id"], r["n_links"], r["component_id"]) for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 2, 0), (1, 2, 0), (2, 2, 0), (3, 1, 3), (4, 1, 4), (5, 0, 5), (5, 1, 3), (5, 1, 4)]
+    with pytest.raises(TypeError):
+        embed_dedup.near_vectors(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>"))
+
+
 def test_range_join_is_complete():
     rng = np.random.default_rng(2)
     h, p = rng.normal(size=(900, 8)).astype(np.float32), rng.normal(size=(1100, 8)).astype(np.float32)
@@ -213,6 +221,36 @@ def test_near_duplicates_match_brute_force(spark, docs, empty):
     assert left.where("doc_id is null").count() == 1 and left.where("doc_id = 4").count() == 0
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s[:n]
+
+
+def test_texts_that_defeat_linear_hashes_stay_apart(spark):
+    one = thue_morse(2048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, other), (3, " ".join([one, other, "x", "y", "z"])), (4, " ".join([other, one, "x", "y", "z"])), (5, f"{one}\n{other}")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["id"]: r["component_id"] for r in got} == {i: i for i, _ in rows}
+    buf = np.frombuffer(rows[4][1].encode(), np.uint8)
+    assert quality_rules.base_counts(buf, np.array([0, len(buf)]))["n_dup_lines"].tolist() == [0]
+    with pytest.raises(TypeError):
+        minhash.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_hash_collisions_change_nothing(monkeypatch):
+    hashes = quality_rules.span_hashes
+    texts = [t for _, t, *_ in corpus()[:-1] if t and len(t) < 5000] + ["a b c\nx y z\na b c d e a b c\nx y z\nq r s"]
+    raw = [t.encode() for t in texts]
+    buf, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    for worse in (lambda b, s, e: hashes(b, s, e) % np.uint64(3), lambda b, s, e: np.zeros(len(s), np.uint64)):
+        monkeypatch.setattr(quality_rules, "span_hashes", worse)
+        got = quality_rules.base_counts(buf, off)
+        assert [tuple(got[f][i] for f in quality_rules.BASE_FIELDS) for i in range(len(texts))] == [brute_base_counts(t) for t in texts]
+
+
 def test_estimates_follow_similarity():
     r = np.random.default_rng(3)
     for j in (0.3, 0.6, 0.9):
