@@ -71,7 +71,7 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_line_chunks(table(spark, sf_dir, "documents"))
     x = F.col("__tv_lines")
-    return out.select("doc_id", x["n_lines"].alias("n_lines"), x["n_chunks"].alias("n_chunks"), x["n_removed_lines"].alias("n_removed_lines"), F.sha2(x["text"].cast("binary"), 256).alias("text_sha256"))
+    return out.select("doc_id", x["n_lines"].alias("n_lines"), x["n_removed_chunks"].alias("n_removed_chunks"), x["n_removed_lines"].alias("n_removed_lines"), F.sha2(x["text"].cast("binary"), 256).alias("text_sha256"))
 
 
 PIECES = os.environ.get("TERRAVANE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -120,34 +120,28 @@ WITH d AS (
          CASE WHEN text IS NULL THEN CAST([] AS VARCHAR[]) ELSE string_split(text, chr(10)) END AS lines
   FROM documents),
 l AS (
-  SELECT r, i, lines[i] AS line, CAST('0x' || substr(md5(lines[i]), 1, 7) AS BIGINT) AS h
-  FROM (SELECT r, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
-cut AS (
-  SELECT r, i, line, (h * 31 + coalesce(lag(h) OVER w, 0)) % 3 = 0 AS ends
-  FROM l WINDOW w AS (PARTITION BY r ORDER BY i)),
-num AS (
-  SELECT r, i, line, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
-  FROM cut),
+  SELECT r, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw
+  FROM (SELECT r, i, lines[i] AS line FROM (SELECT r, lines, unnest(range(1, len(lines) + 1)) AS i FROM d))),
 chunk AS (
-  SELECT r, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM num GROUP BY r, k),
-cand AS (
-  SELECT c.r, c.k, c.n, c.body, d.doc_id, d.rk FROM chunk c JOIN d USING (r) WHERE c.n > 1 AND length(c.body) >= 40),
+  SELECT r, i, 2 AS n, line || chr(10) || next AS body FROM (SELECT *, lead(line) OVER w AS next, lead(nw) OVER w AS nnw FROM l WINDOW w AS (PARTITION BY r ORDER BY i)) WHERE nw + nnw > 0
+  UNION ALL SELECT r, i, 1, line FROM l WHERE nw >= 50),
+cand AS (SELECT c.*, d.doc_id, d.rk FROM chunk c JOIN d USING (r)),
 again AS (
-  SELECT body, arg_min(rk, ord) AS rk, arg_min(k, ord) AS k
-  FROM (SELECT *, row(doc_id IS NULL, doc_id, rk, k) AS ord FROM cand) GROUP BY body HAVING count(*) > 1),
+  SELECT body, arg_min(rk, ord) AS rk, arg_min(i, ord) AS i
+  FROM (SELECT *, row(doc_id IS NULL, doc_id, rk, i) AS ord FROM cand) GROUP BY body HAVING count(*) > 1),
 gone AS (
-  SELECT c.r, c.k, c.n FROM cand c JOIN again a USING (body) WHERE NOT (c.rk = a.rk AND c.k = a.k))
+  SELECT c.r, c.i, c.n FROM cand c JOIN again a USING (body) WHERE NOT (c.rk = a.rk AND abs(c.i - a.i) < c.n)),
+lost AS (SELECT DISTINCT r, i + unnest(range(0, n)) AS i FROM gone)
 """
 
 SQL: dict[str, str] = {
     "op5_line_dedup": _CHUNKS_SQL
     + r"""
-SELECT d.doc_id, CAST(len(d.lines) AS BIGINT) AS n_lines, CAST(coalesce(s.n_chunks, 0) AS BIGINT) AS n_chunks,
-       CAST(coalesce(s.n_removed_lines, 0) AS BIGINT) AS n_removed_lines,
-       CASE WHEN d.text IS NULL THEN NULL WHEN coalesce(s.n_removed_lines, 0) = 0 THEN sha256(d.text) ELSE sha256(coalesce(s.body, '')) END AS text_sha256
-FROM d LEFT JOIN (
-  SELECT c.r, count(*) AS n_chunks, sum(g.n) AS n_removed_lines, string_agg(CASE WHEN g.r IS NULL THEN c.body END, chr(10) ORDER BY c.k) AS body
-  FROM chunk c LEFT JOIN gone g ON c.r = g.r AND c.k = g.k GROUP BY c.r) s ON d.r = s.r
+SELECT d.doc_id, CAST(len(d.lines) AS BIGINT) AS n_lines, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed_chunks, CAST(coalesce(x.n, 0) AS BIGINT) AS n_removed_lines,
+       CASE WHEN d.text IS NULL THEN NULL WHEN x.r IS NULL THEN sha256(d.text) ELSE sha256(coalesce(k.body, '')) END AS text_sha256
+FROM d LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY r) g ON d.r = g.r
+LEFT JOIN (SELECT r, count(*) AS n FROM lost GROUP BY r) x ON d.r = x.r
+LEFT JOIN (SELECT l.r, string_agg(l.line, chr(10) ORDER BY l.i) AS body FROM l ANTI JOIN lost ON l.r = lost.r AND l.i = lost.i GROUP BY l.r) k ON d.r = k.r
 """,
     "op9_url_filter": r"""
 WITH p AS (
