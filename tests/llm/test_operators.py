@@ -264,15 +264,50 @@ def test_estimates_follow_similarity():
 # --- line dedup
 
 
-def test_repeated_chunks_go_and_the_first_stays(spark, empty):
+def brute_lines(rows, long_words=50):
+    """Kept line numbers of each (id, text) by plain dictionaries; ids are distinct and not null."""
+    split = {i: [] if t is None else t.split("\n") for i, t in rows}
+    at = defaultdict(list)
+    for i in sorted(split):
+        for k, line in enumerate(split[i]):
+            if k + 1 < len(split[i]) and WORD.search(line + split[i][k + 1]):
+                at[2, line, split[i][k + 1]].append((i, k))
+            if len(WORD.findall(line)) >= long_words:
+                at[1, line].append((i, k))
+    gone = {(i, k + j) for key, places in at.items() for i, k in places[1:] if i != places[0][0] or k - places[0][1] >= key[0] for j in range(key[0])}
+    return {i: [k for k in range(len(v)) if (i, k) not in gone] for i, v in split.items()}
+
+
+def test_repeated_chunks_go_and_the_first_stays(spark, docs, empty):
     block = "\n".join(prose(20, 500 + k) for k in range(12))
-    rows = [(2, "own head two\n" + block + "\nown tail two"), (1, "own head\n" + block), (3, None), (4, ""), (5, "single line"), (None, block)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lines", F.lit("clash"))
+    two, wide = prose(30, 700) + "\n" + prose(31, 701), prose(60, 702)
+    rows = [(2, "own head two\n" + block + "\nown tail two"), (1, "own head\n" + block), (3, None), (4, ""), (5, "single line"), (6, "\n\n\n"), (7, "a\na\na\na\na"), (8, "x\n" + two + "\ny"), (9, two), (10, "p\n" + wide + "\nq"), (11, wide), (12, "\n\n" + "r\n" * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lines", F.lit("clash")).withColumn("rk", F.lit(1))
     got = {r["doc_id"]: r["__tv_lines"] for r in line_dedup.dedup_line_chunks(df).collect()}
-    assert got[1]["n_removed_lines"] == 0 and got[1]["text"] == rows[1][1]
-    assert got[2]["n_removed_lines"] > 4 and got[None]["n_removed_lines"] > 4
-    assert got[2]["text"].startswith("own head two") and got[3]["text"] is None and got[4]["text"] == ""
+    want = brute_lines(rows)
+    for i, t in rows:
+        kept = None if t is None else "\n".join(t.split("\n")[k] for k in want[i])
+        assert got[i]["text"] == kept and got[i]["n_removed_lines"] == (0 if t is None else len(t.split("\n")) - len(want[i]))
+    assert got[2]["text"] == "own head two\nown tail two" and got[9]["text"] == "" and got[10]["text"] == "p\n" + wide + "\nq"
+    assert got[7]["text"] == "a\na" and got[11]["text"] == ""
     assert line_dedup.dedup_line_chunks(empty).count() == 0
+    assert line_dedup.dedup_line_chunks(docs).count() == docs.count()
+    again = line_dedup.dedup_line_chunks(spark.createDataFrame([(1, block), (1, block), (None, block)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["__tv_lines"]["n_removed_lines"]) for r in again) == [(0, 12), (1, 0), (1, 0)]
+
+
+def test_sparse_boundaries_resist_shifts(spark):
+    block = "\n".join(prose(20, 800 + k) for k in range(40))
+    df = spark.createDataFrame([(1, "head\n" + block), (2, "other\nhead\nlines\n" + block + "\ntail")], "doc_id long, text string")
+    got = {r["doc_id"]: r["__tv_lines"] for r in line_dedup.dedup_line_chunks(df, divisor=3).collect()}
+    assert got[1]["n_removed_lines"] == 0 and got[2]["n_removed_lines"] >= 20 and got[2]["text"].startswith("other\nhead\nlines") and got[2]["text"].endswith("tail")
+
+
+def test_chunks_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "chunk_hash", lambda c: F.when(c.isNotNull(), F.lit(b"x" * 16)))
+    rows = [(1, "a b\nc d"), (2, "e f\ng h"), (3, "a b\nc d")]
+    got = {r["doc_id"]: r["__tv_lines"]["text"] for r in line_dedup.dedup_line_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "a b\nc d", 2: "e f\ng h", 3: ""}
 
 
 # --- quality
@@ -460,6 +495,9 @@ def test_pipeline_matches_its_stages_by_brute_force(spark):
     ids = {r["doc_id"] for r in kept.collect()}
     assert not any(brute_base_counts(r["text"])[0] < 50 for r in kept.collect())
     lines = corpus_pipeline.line_stage(spark, kept, SF).cache()
+    texts = {r["doc_id"]: r["text"] for r in kept.collect()}
+    stay = {i: "\n".join(texts[i].split("\n")[k] for k in v) for i, v in brute_lines(list(texts.items())).items()}
+    assert {r["doc_id"]: r["text"] for r in lines.collect()} == {i: t for i, t in stay.items() if WORD.search(t)}
     near = brute_near([(r["doc_id"], r["text"]) for r in lines.collect()])
     left = {r["doc_id"] for r in corpus_pipeline.minhash_stage(spark, lines, SF).collect()}
     assert left == {i for i, (_, c) in near.items() if i == c}
