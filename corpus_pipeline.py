@@ -20,8 +20,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated chunks of lines leave the texts; n_chars follows."""
+    """Later occurrences of repeated chunks of lines leave the texts; n_chars follows.
+
+    A document that this leaves without a word is a copy of others and goes.
+    """
     out = line_dedup.dedup_line_chunks(docs)
+    out = out.where((F.col("__tv_lines.n_removed_lines") == 0) | F.regexp_like("__tv_lines.text", F.lit(line_dedup.WORD)))
     new = {"text": F.col("__tv_lines.text"), "n_chars": F.length("__tv_lines.text").cast("long")}
     changed = F.col("__tv_lines.n_removed_lines") > 0
     return out.select(*(F.when(changed, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
