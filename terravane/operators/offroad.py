@@ -1,139 +1,194 @@
-"""Off-road reachability: least-cost search over cells, one request at a time.
-
-The search is sequential, so it is a numpy / heap kernel; requests spread over
-the cluster.  A move goes to one of 16 neighbours and costs its metres times the
-mean cost of the cells at its ends; cells off the terrain, under water or steeper
-than the limit block.
-
-The search covers a disk, at first a little over twice as wide as the nearest
-road is far, that doubles until the way found costs no more than its radius: a
-way that leaves the disk costs at least the radius.
+"""Off-road ways: least-cost search over cells from a point to a network.
+
+The search is sequential, so it is a heap over numpy arrays; requests meet the
+tiles of their own window and spread over the cluster.  A move goes to one of 16
+neighbours and costs, in every cell that it crosses, its metres there times the
+cell's cost; a cell that it crosses or only touches at a corner blocks it if it
+cannot be crossed.  The disk searched doubles until the way found costs no more
+than its radius: a way that leaves the disk costs at least that.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-
-from ..plans.cluster import ship
-from ..sources import terrain as T
-
+from pyspark.sql import functions as F
+
+from ..functions import raster as R
+from ..sources.catalog import Terrain
+from ..sources.synthetic import CELL, COVER, RAIL, ROAD
+from .windows import around, on_blocks
+
+# The share of open ground's speed that a cover leaves, and what the steepest slope leaves.
+COVER_SPEED = {"plain": 1.0, "runway": 1.0, "field": 0.8, "beach": 0.6, "town": 0.5, "forest": 0.25}
+STEEP_SPEED = 0.25
+#: Metres: how far a way is searched, and the radius of the first disk at least.
+MAX_DISTANCE, FIRST_REACH = 20_000.0, 1000.0
 MOVES = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if math.gcd(a, b) == 1]
-# Metres: how far a way is searched, and how far the first disk goes beyond twice the nearest road's distance.
-MAX_DISTANCE, FIRST_MARGIN = 20_000.0, 1000.0
-# Cost factor by cover.
-COVER_COST = {1: 1.0, 2: 1.1, 3: 2.0, 4: 1.5, 5: 1.4, 6: 1.0, 7: math.inf}
-
-
-def _ground(n: np.ndarray, e: np.ndarray) -> np.ndarray:
-    out = T.LAND["base"] + T.LAND["slope"] * n
-    for h, n0, e0 in T.HILLS:
-        out = out + h * np.exp(-((n - n0) ** 2 + (e - e0) ** 2) / (2 * T.LAND["sigma"] ** 2))
-    return out
-
-
-def _road(n: np.ndarray, e: np.ndarray) -> np.ndarray:
-    out = np.zeros(n.shape, bool)
-    for _, fixed, a, b, north in T.ROADS:
-        across, along = (e, n) if north else (n, e)
-        out |= (abs(across - fixed) <= T.CELL / 2) & (along >= a) & (along <= b)
-    return out
-
-
-def window(n: float, e: float, radius: float, max_slope: float) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Cost per metre and road mask of the cells around a point, and the point's row and column in it."""
-    r0, c0, k = int((n - radius) // T.CELL), int((e - radius) // T.CELL), int(2 * radius // T.CELL) + 2
-    r, c = np.meshgrid(np.arange(r0, r0 + k), np.arange(c0, c0 + k), indexing="ij")
-    cn, ce = r * 50.0 + 25, c * 50.0 + 25
-    h = _ground(cn, ce)
-    slope = np.degrees(np.arctan(np.hypot(*np.gradient(h, 50.0))))
-    wet = (cn + ce < T.COAST) | ((cn - 13000) ** 2 + (ce - 52000) ** 2 <= 2000**2) | (abs(ce - 45000) <= 30)
-    box = lambda b: (cn >= b[0]) & (cn < b[1]) & (ce >= b[2]) & (ce < b[3])
-    cover = np.select([box(T.TOWN_BOX), box(T.FOREST_BOX) & ~box(T.HOLE_BOX), box(T.FIELD_BOX), box(T.BEACH_BOX)], [4, 3, 2, 5], 1)
-    road = _road(cn, ce)
-    cost = np.vectorize(COVER_COST.get)(cover) / np.maximum(1 - slope / max_slope, 1e-9)
-    inside = (cn >= T.MARGIN) & (cn < T.SIZE - T.MARGIN) & (ce >= T.MARGIN) & (ce < T.SIZE - T.MARGIN)
-    cost[(slope >= max_slope) | (wet & ~road) | ~inside] = np.inf
-    return cost, road & inside, int(n // T.CELL) - r0, int(e // T.CELL) - c0
-
-
-def search(cost: np.ndarray, goal: np.ndarray, row: int, col: int) -> tuple[float, int, int]:
-    """Least cost to a goal cell and that cell; infinite where none is reached. Ties go to the least row, then column."""
-    return spread(cost, goal, row, col)[0]
-
-
-def spread(cost: np.ndarray, goal: np.ndarray, row: int, col: int) -> tuple[tuple[float, int, int], np.ndarray]:
-    """What ``search`` tells, and the least costs of the cells met until then."""
-    best = np.full(cost.shape, np.inf)
-    if not np.isfinite(cost[row, col]):
-        return (math.inf, -1, -1), best
-    best[row, col] = 0
-    heap = [(0.0, row, col)]
+REASONS = {1: "a lake", 2: "the sea", 3: "a river"}
+
+
+def cost_field(block: R.Block, max_slope: float) -> np.ndarray:
+    """Cost per metre of each cell, 1 on open flat ground, infinite where it cannot be crossed."""
+    slope = R.slope_layers(block.h)["slope"]
+    speed = np.zeros(block.shape)
+    for name, share in COVER_SPEED.items():
+        speed[block.cover == COVER[name]] = share
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cost = 1 / (speed * (1 - (1 - STEEP_SPEED) * (slope / max_slope) ** 2))
+        cost[(speed == 0) | (block.water != 0) | np.isnan(slope) | (slope > max_slope)] = np.inf
+    return cost
+
+
+@cache
+def crossings() -> list[list[tuple[int, int, float]]]:
+    """Of each move, the cells crossed or touched at a corner after the first one, with the metres run in each; the first cell's come first."""
+    half = CELL / 2
+    return [[(r, c, (t - s) * math.hypot(a, b) * CELL) for r, c, s, t in R.crossed((half, half), (half + a * CELL, half + b * CELL))] for a, b in MOVES]
+
+
+class Ground:
+    """What a search runs over: costs, the network's cells and the disk that may be entered."""
+
+    def __init__(self, cost: np.ndarray, road: np.ndarray, inside: np.ndarray | None = None):
+        # a road's cell is crossed as open ground by the way that ends in it
+        self.passage = np.where(road & ~np.isfinite(cost), 1.0, cost)
+        self.road, self.inside = road, np.ones(cost.shape, bool) if inside is None else inside
+        self.cols = cost.shape[1]
+
+    def line(self, a: tuple[float, float], b: tuple[float, float], end: tuple[int, int]) -> float:
+        """The cost of a straight line in metres from the block's corner; infinite where it is blocked or runs through another road's cell."""
+        start = math.floor(a[0] / CELL), math.floor(a[1] / CELL)
+        total, size = 0.0, math.dist(a, b)
+        for r, c, s, t in R.crossed(a, b):
+            if not (0 <= r < self.road.shape[0] and 0 <= c < self.cols) or not np.isfinite(self.passage[r, c]):
+                return math.inf
+            if t > s and self.road[r, c] and (r, c) not in (start, end):
+                return math.inf
+            total += (t - s) * size * self.passage[r, c]
+        return total
+
+
+def search(ground: Ground, row: int, col: int) -> tuple[float, list[tuple[int, int]], bool]:
+    """(cost, cells of the way, whether the edge of the disk was met) to the nearest road's cell; infinite and empty where none is reached.
+
+    Ties go to the lower row, then column.
+    """
+    rows, cols = ground.road.shape
+    passage, road, inside = ground.passage, ground.road, ground.inside
+    best, came, rim = {(row, col): 0.0}, {}, False
+    if not (np.isfinite(passage[row, col]) and inside[row, col]):
+        return math.inf, [], False
+    heap, done = [(0.0, row, col)], set()
+    moves = list(zip(MOVES, crossings(), strict=True))
     while heap:
         d, r, c = heapq.heappop(heap)
-        if d > best[r, c]:
+        if (r, c) in done:
             continue
-        if goal[r, c]:
-            return (d, r, c), best
-        for a, b in MOVES:
+        done.add((r, c))
+        if road[r, c]:
+            way = [(r, c)]
+            while way[-1] in came:
+                way.append(came[way[-1]])
+            return d, way[::-1], rim
+        for (a, b), cells in moves:
             x, y = r + a, c + b
-            if 0 <= x < cost.shape[0] and 0 <= y < cost.shape[1] and np.isfinite(cost[x, y]):
-                new = d + math.hypot(a, b) * T.CELL * (cost[r, c] + cost[x, y]) / 2
-                if new < best[x, y]:
-                    best[x, y] = new
-                    heapq.heappush(heap, (new, x, y))
-    return (math.inf, -1, -1), best
-
-
-def road_distance(n: float, e: float) -> float:
-    """Metres to the nearest centre line of a road."""
-    each = []
-    for _, fixed, a, b, north in T.ROADS:
-        across, along = (e, n) if north else (n, e)
-        each.append(math.hypot(across - fixed, along - min(max(along, a), b)))
-    return min(each)
-
-
-def way(n: float, e: float, max_slope: float, max_distance: float) -> tuple[float, int, int]:
-    """Least cost from a point to a road and the road's row and column on the terrain; infinite where none is reached."""
-    distance = road_distance(n, e)
-    if distance > max_distance:
-        return math.inf, -1, -1
-    reach = min(2 * distance + FIRST_MARGIN, max_distance)
+            if not (0 <= x < rows and 0 <= y < cols) or not inside[x, y]:
+                rim = True
+                continue
+            if (x, y) in done:
+                continue
+            new = d
+            for i, j, metres in cells:
+                p = passage[r + i, c + j]
+                if p == math.inf or (metres > 0 and road[r + i, c + j] and (i, j) != (a, b)):
+                    new = math.inf
+                    break
+                new += metres * p
+            if new < best.get((x, y), math.inf):
+                best[x, y] = new
+                came[x, y] = (r, c)
+                heapq.heappush(heap, (new, x, y))
+    return math.inf, [], rim
+
+
+def straightened(ground: Ground, turns: list[tuple[float, float]], end: tuple[int, int]) -> tuple[float, list[tuple[float, float]]]:
+    """From each turn on to the farthest later one whose straight line costs no more than the way between them."""
+    cells = [(math.floor(n / CELL), math.floor(e / CELL)) for n, e in turns[:-1]] + [end]
+    spent = [0.0]
+    for k in range(1, len(turns)):
+        spent.append(spent[-1] + ground.line(turns[k - 1], turns[k], cells[k]))
+    out, cost, i = [turns[0]], 0.0, 0
+    while i + 1 < len(turns):
+        to, price = i + 1, spent[i + 1] - spent[i]
+        for j in range(i + 2, len(turns)):
+            straight = ground.line(turns[i], turns[j], cells[j])
+            if not straight <= (spent[j] - spent[i]) * (1 + 1e-12) + 1e-9:
+                break
+            to, price = j, straight
+        out.append(turns[to])
+        cost += price
+        i = to
+    return (cost, out) if cost <= spent[-1] else (spent[-1], turns)
+
+
+def way(cost: np.ndarray, road: np.ndarray, n: float, e: float, max_distance: float) -> tuple[float, list[tuple[float, float]], float]:
+    """(cost, turns, reach searched) from a point in metres from the block's corner to a road."""
+    row, col = int(n // CELL), int(e // CELL)
+    r, c = np.ogrid[0 : road.shape[0], 0 : road.shape[1]]
+    far = np.hypot((r + 0.5) * CELL - n, (c + 0.5) * CELL - e)
+    far[row, col] = 0
+    near = far[road].min() if road.any() else math.inf
+    if near > max_distance:
+        return math.inf, [], max_distance
+    reach = min(max(FIRST_REACH, 2 * near), max_distance)
     while True:
-        # two cells more, so that slopes at the rim of the disk are not those of a window's edge
-        cost, road, i, j = window(n, e, reach + 2 * T.CELL, max_slope)
-        r0, c0 = int(n // T.CELL) - i, int(e // T.CELL) - j
-        r, c = np.ogrid[r0 : r0 + cost.shape[0], c0 : c0 + cost.shape[1]]
-        far = np.hypot((r + 0.5) * T.CELL - n, (c + 0.5) * T.CELL - e)
-        outside = far > reach
-        outside[i, j] = False
-        cost[outside] = np.inf
-        (d, x, y), best = spread(cost, road, i, j)
-        # no cell met within one move of the rim: what lies beyond changes nothing
-        closed = not (np.isfinite(best) & (far > reach - 3 * T.CELL)).any()
-        if d <= reach or reach >= max_distance or (d == math.inf and closed):
-            return d, r0 + x, c0 + y
+        ground = Ground(cost, road, far <= reach)
+        total, cells, rim = search(ground, row, col)
+        if total <= reach or reach >= max_distance or (total == math.inf and not rim):
+            break
         reach = min(2 * reach, max_distance)
-
-
-def trafficability(requests: DataFrame, max_slope: float = 20, max_distance: float = MAX_DISTANCE) -> DataFrame:
-    """(id, reachable, cost, road_n, road_e) of each (id, n, e): the least-cost way to a road within the distance."""
-
-    ship(requests.sparkSession)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for r in f.itertuples(index=False):
-                d, x, y = way(r.n, r.e, max_slope, max_distance)
-                ok = d < math.inf
-                rows.append((r.id, ok, round(d, 3) if ok else None, x * 50.0 + 25 if ok else None, y * 50.0 + 25 if ok else None))
-            yield pd.DataFrame(rows, columns=["id", "reachable", "cost", "road_n", "road_e"])
-
-    return requests.select("id", "n", "e").mapInPandas(run, "id long, reachable boolean, cost double, road_n double, road_e double")
+    if total == math.inf:
+        return total, [], reach
+    turns = [(n, e), *(((i + 0.5) * CELL, (j + 0.5) * CELL) for i, j in cells[1:])]
+    if len(turns) == 1:
+        return 0.0, [(n, e)], reach
+    return *straightened(Ground(cost, road), turns, cells[-1]), reach
+
+
+def trafficability(terrain: Terrain, requests: DataFrame, max_slope: float = 20.0, network: str = "road", max_distance: float = MAX_DISTANCE) -> DataFrame:
+    """(id, reachable, cost, length, road_n, road_e, turns, straight_distance, reason) of each (id, n, e): the least-cost way to a network.
+
+    ``reason`` says what kind of ground the start has where no way exists.
+    """
+    if not 0 < max_slope <= 60:
+        raise ValueError("the slope limit must lie over 0 and up to 60 degrees")
+    kind = {"road": ROAD, "rail": RAIL}[network]
+    # bounded like the graph itself: the polylines within reach of a request go with it
+    lines = terrain.table("edges").where(F.col("kind") == kind).select(F.posexplode("points").alias("k", "p"), "edge_id")
+    lines = lines.groupBy("edge_id").agg(F.sort_array(F.collect_list(F.struct("k", "p"))).alias("ps"))
+    lines = lines.agg(F.collect_list(F.transform("ps", lambda x: x["p"])).alias("lines"))
+    names = ("id", "reachable", "cost", "length", "road_n", "road_e", "turns", "straight_distance", "reason")
+
+    def kernel(q: dict, block: R.Block) -> dict[str, list]:
+        base_n, base_e = block.row * float(CELL), block.col * float(CELL)
+        road = R.line_cells([np.array([(p["n"], p["e"]) for p in line]) for line in q["lines"] or ()], block.row, block.col, *block.shape)
+        cost = cost_field(block, max_slope)
+        n, e = q["n"] - base_n, q["e"] - base_e
+        total, turns, reach = way(cost, road, n, e, max_distance)
+        i, j = int(n // CELL), int(e // CELL)
+        if total < math.inf:
+            at = [(a + base_n, b + base_e) for a, b in turns]
+            row = (q["id"], True, total, sum(map(math.dist, at, at[1:])), at[-1][0], at[-1][1], len(at) - 2 if len(at) > 1 else 0, math.dist(at[0], at[-1]), None)
+        else:
+            start = "no ground" if math.isnan(block.h[i, j]) else REASONS.get(int(block.water[i, j]))
+            reason = f"the start lies in {start}" if start and not np.isfinite(cost[i, j]) else "the start is too steep" if not np.isfinite(cost[i, j]) and not road[i, j] else f"no way reaches the {network} within {reach:g} m"
+            row = (q["id"], False, None, None, None, None, None, None, reason)
+        return {k: [v] for k, v in zip(names, row, strict=True)}
+
+    asked = requests.select("id", "n", "e").join(F.broadcast(lines))
+    return on_blocks(terrain, asked, around(F.col("n"), F.col("e"), F.lit(max_distance)), kernel, "id long, reachable boolean, cost double, length double, road_n double, road_e double, turns long, straight_distance double, reason string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..sources.terrain import num
+from .terrain import num
 
 # WGS84 and the terrain's projection.
 A, F_ = 6378137.0, 1 / 298.257223563

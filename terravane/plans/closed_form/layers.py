@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from ..sources import terrain as T
+from . import terrain as T
 
 CAP = 5000
 
 
-def slope_layers(row: int, rows: int, col: int, cols: int) -> str:
+def slope_layers(row: int, rows: int, col: int, cols: int, places: int = 4) -> str:
     """valid, slope, aspect and roughness by a 3 x 3 neighbourhood (Horn); undefined where any of the nine is."""
     window = T.cells(row - 1, rows + 2, col - 1, cols + 2)
     across = f"(SELECT r, c, h, water, lag(h) OVER v AS w, lead(h) OVER v AS o FROM {window} g WINDOW v AS (PARTITION BY r ORDER BY c))"
@@ -16,13 +16,13 @@ def slope_layers(row: int, rows: int, col: int, cols: int) -> str:
     all_nine = "(h + w + o + sw + s + so + nw + nn + no)"
     grad = f"(SELECT *, ((nw + 2 * nn + no) - (sw + 2 * s + so)) / 400e0 AS gn, ((so + 2 * o + no) - (sw + 2 * w + nw)) / 400e0 AS ge FROM {nine} k)"
     deg = f"(SELECT *, degrees(atan(sqrt(gn * gn + ge * ge))) AS sl, degrees(atan2(-ge, -gn)) AS az FROM {grad} m)"
-    return f"""SELECT r, c, CASE WHEN h IS NULL THEN 0 WHEN water = 2 THEN 0 ELSE 1 END AS valid, round(sl, 4) AS slope,
+    return f"""SELECT r, c, CASE WHEN h IS NULL THEN 0 WHEN water = 2 THEN 0 ELSE 1 END AS valid, round(sl, {places}) AS slope,
       round(CASE WHEN sl >= 0.5e0 THEN CASE WHEN az < 0e0 THEN az + 360e0 ELSE az END END, 4) + 0e0 AS aspect,
       CASE WHEN {all_nine} IS NOT NULL THEN greatest(h, w, o, sw, s, so, nw, nn, no) - least(h, w, o, sw, s, so, nw, nn, no) END AS roughness
       FROM {deg} z WHERE r BETWEEN {row} AND {row + rows - 1} AND c BETWEEN {col} AND {col + cols - 1}"""
 
 
-def disk_layers(row: int, rows: int, col: int, cols: int, radius: int = 300) -> str:
+def disk_layers(row: int, rows: int, col: int, cols: int, radius: int = 300, position: str = "tpi_300") -> str:
     """Topographic position and cover shares in a disk, by prefix sums along rows."""
     k = radius // T.CELL
     window = T.cells(row - k, rows + 2 * k, col - k - 1, cols + 2 * k + 2)
@@ -31,12 +31,12 @@ def disk_layers(row: int, rows: int, col: int, cols: int, radius: int = 300) ->
     half = ", ".join(f"({d}, {int((k * k - d * d) ** 0.5)})" for d in range(-k, k + 1))
     spans = f"(SELECT g.r, g.c, g.h, g.r + q.dr AS rr, g.c + q.half AS hi, g.c - q.half - 1 AS lo FROM {window} g, (SELECT * FROM (VALUES {half}) AS v(dr, half)) q WHERE g.r BETWEEN {row} AND {row + rows - 1} AND g.c BETWEEN {col} AND {col + cols - 1})"
     shares = ", ".join(f"round(sum(a.p{c} - b.p{c}) / CAST(nullif(sum(a.pn - b.pn), 0) AS DOUBLE), 6) AS share_{name}" for c, name in T.COVERS.items())
-    return f"""SELECT s.r, s.c, round(max(s.h) - sum(a.ph - b.ph) / CAST(nullif(sum(a.pn - b.pn), 0) AS DOUBLE), 4) AS tpi, {shares}
+    return f"""SELECT s.r, s.c, round(max(s.h) - sum(a.ph - b.ph) / CAST(nullif(sum(a.pn - b.pn), 0) AS DOUBLE), 4) AS {position}, {shares}
       FROM {spans} s JOIN {prefix} a ON a.r = s.rr AND a.c = s.hi JOIN {prefix} b ON b.r = s.rr AND b.c = s.lo GROUP BY s.r, s.c"""
 
 
 def distance_layer(row: int, rows: int, col: int, cols: int, seed: str, cap: int = CAP) -> str:
-    """Exact distance between cell centres to the nearest seed cell; cells beyond the cap are left out.
+    """Exact distance between cell centres to the nearest seed cell; null beyond the cap.
 
     Along each column the nearest seed row comes from two windows; then every
     cell takes the least squared distance over the columns within the cap.
@@ -46,7 +46,8 @@ def distance_layer(row: int, rows: int, col: int, cols: int, seed: str, cap: int
     down = f"(SELECT r, c, max(CASE WHEN {seed} THEN r END) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS below, min(CASE WHEN {seed} THEN r END) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above FROM {window} g)"
     column = f"(SELECT r, c, least(r - below, above - r) AS dr FROM {down} d WHERE r BETWEEN {row} AND {row + rows - 1} AND least(r - below, above - r) <= {k})"
     reach = f"(SELECT r, c - {k} + k AS c, dr * dr + (k - {k}) * (k - {k}) AS d2 FROM {column} x {{each:{2 * k}:k}})"
-    return f"SELECT r, c, round(sqrt(min(d2)) * 50e0, 4) AS distance FROM {reach} y WHERE c BETWEEN {col} AND {col + cols - 1} AND d2 <= {k * k} GROUP BY r, c"
+    found = f"(SELECT r, c, round(sqrt(min(d2)) * 50e0, 4) AS distance FROM {reach} y WHERE c BETWEEN {col} AND {col + cols - 1} AND d2 < {k * k} GROUP BY r, c)"
+    return f"SELECT g.r, g.c, f.distance FROM (SELECT a.i + {row} AS r, b.i + {col} AS c FROM {{seq:{rows}}} a, {{seq:{cols}}} b) g LEFT JOIN {found} f ON f.r = g.r AND f.c = g.c"
 
 
 def count_layer(row: int, rows: int, col: int, cols: int, kind: str, radius: int = 1000) -> str:

@@ -26,11 +26,18 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, which is also set for checkpoints."""
+    """The cluster's shared folder.
+
+    Where none is set, a session on one machine gets a temporary one, which is
+    also set for checkpoints; on a cluster that is an error, as executors would
+    write to disks that others cannot read.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
     java = spark.sparkContext._jsc.sc()
     if not java.getCheckpointDir().isDefined():
+        if not java.isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terravane-"))
     return java.getCheckpointDir().get()
