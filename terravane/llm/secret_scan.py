@@ -1,8 +1,11 @@
 r"""Secret scans by grammar inference.
 
 Labelled credentials of a format become a prefix tree; states whose outgoing and
-final frequencies are compatible (Hoeffding bound at ``ALPHA``) are merged, red
-and blue states in order of discovery, into a probabilistic automaton.  In every
+final frequencies and whose distributions of the length still to come are
+compatible (Hoeffding bound at ``ALPHA``) are merged, red and blue states, the
+most visited first and each with the likest red one, into a probabilistic
+automaton.  So positions of a fixed length stay apart and runs of any length
+become loops.  An end in a state that no credential ended in is impossible.  In every
 run of a text each format's automaton goes forward from each of its prefixes, or
 without one from each separator, to the longest end that it accepts by bits of
 likelihood against prose and by mean bits a symbol against what the format's own
@@ -13,7 +16,9 @@ Three plain patterns always hold beside it (kinds ``assign``, ``access``,
 ``hex``); the automata add spans outside of theirs.
 
 Defined results: a null text is empty; spans count code points, end exclusive,
-ordered by start, then kind as listed in ``KINDS``; an empty table gives no rows.
+ordered by start, then kind as listed in ``KINDS``; where automata of two formats
+accept parts of one run, the format listed first names it; repeated rows get equal
+results, and no row is compared with another; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +38,9 @@ from pyspark.sql import types as T
 from .common import ship
 
 ALPHA = 0.05
-SAMPLES = 160
+SAMPLES = 500
+#: Symbols that a comparison of two states looks ahead; lengths to come are compared whole.
+AHEAD = 2
 #: Bits of likelihood over prose that a candidate needs.
 BITS = 24.0
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -45,15 +52,22 @@ GAP = re.compile(r"^[+/_.=-]*|[+/_.=-]+")
 
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _ALNUM = _UPPER + _LOWER + _DIGIT
-#: Format: parts of (alphabet, least and greatest length) or a literal.
-FORMATS: dict[str, list[str | tuple[str, int, int]]] = {
+_HEX = "0123456789abcdef"
+#: Format: parts of (alphabet, least and greatest length), a literal, or a list of literals.
+FORMATS: dict[str, list[str | list[str] | tuple[str, int, int]]] = {
     "aws": ["AKIA", (_UPPER + "234567", 16, 16)],
-    "github": ["ghp_", (_ALNUM, 36, 36)],
+    "github": ["gh", ["p", "o", "u", "s", "r"], "_", (_ALNUM, 36, 36)],
+    "github_fine": ["github_pat_", (_ALNUM, 22, 22), "_", (_ALNUM, 59, 59)],
     "gitlab": ["glpat-", (_ALNUM + "_-", 20, 20)],
-    "slack": ["xoxb-", (_DIGIT, 11, 13), "-", (_DIGIT, 11, 13), "-", (_ALNUM, 24, 24)],
-    "stripe": ["sk_live_", (_ALNUM, 24, 32)],
+    "slack": ["xox", ["b", "p", "a", "r", "s"], "-", (_DIGIT, 10, 13), "-", (_DIGIT, 10, 13), "-", (_ALNUM, 24, 32)],
+    "stripe": ["sk_", ["live", "test"], "_", (_ALNUM, 24, 32)],
+    "stripe_restricted": ["rk_", ["live", "test"], "_", (_ALNUM, 24, 32)],
+    "sk48": ["sk-", (_ALNUM, 48, 48)],
     "google": ["AIza", (_ALNUM + "_-", 35, 35)],
     "npm": ["npm_", (_ALNUM, 36, 36)],
+    "huggingface": ["hf_", (_UPPER + _LOWER, 34, 34)],
+    "sendgrid": ["SG.", (_ALNUM + "_-", 22, 22), ".", (_ALNUM + "_-", 43, 43)],
+    "digitalocean": ["dop_v1_", (_HEX, 64, 64)],
     "jwt": ["eyJ", (_ALNUM + "_-", 20, 60), ".", (_ALNUM + "_-", 30, 120), ".", (_ALNUM + "_-", 43, 43)],
     "random40": [(_ALNUM + "+/", 40, 40)],
 }
@@ -68,55 +82,70 @@ def symbols(text: str) -> list[str]:
     return [_class.get(c, c) for c in text]
 
 
+def made(kind: str, r: random.Random) -> str:
+    """One credential of a format."""
+    one = lambda p: p if isinstance(p, str) else r.choice(p) if isinstance(p, list) else "".join(r.choice(p[0]) for _ in range(r.randint(p[1], p[2])))
+    return "".join(map(one, FORMATS[kind]))
+
+
 def labelled(kind: str, count: int = SAMPLES) -> list[str]:
     """Labelled credentials of a format, always the same ones."""
     r = random.Random(f"terravane {kind}")
-    part = lambda p: p if isinstance(p, str) else "".join(r.choice(p[0]) for _ in range(r.randint(p[1], p[2])))
-    return ["".join(map(part, FORMATS[kind])) for _ in range(count)]
+    return [made(kind, r) for _ in range(count)]
 
 
 class Automaton:
-    """A probabilistic deterministic automaton inferred from symbol sequences."""
+    """A probabilistic deterministic automaton inferred from symbol sequences; state 0 is the start."""
 
     def __init__(self, words: list[list[str]], alpha: float = ALPHA):
         self.next: list[dict[str, int]] = [{}]
         self.hits: list[dict[str, int]] = [{}]
         self.ends = [0]
         self.visits = [0]
-        self.alpha = alpha
+        #: Of each state, how many words had how many symbols still to come.
+        self.rest: list[dict[int, int]] = [{}]
+        self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         for w in words:
             at = 0
-            self.visits[0] += 1
-            for s in w:
+            self._meet(0, len(w))
+            for i, s in enumerate(w, 1):
                 if s not in self.next[at]:
-                    self.next.append({})
-                    self.hits.append({})
+                    for table in (self.next, self.hits, self.rest):
+                        table.append({})
                     self.ends.append(0)
                     self.visits.append(0)
                     self.next[at][s] = len(self.next) - 1
                 self.hits[at][s] = self.hits[at].get(s, 0) + 1
                 at = self.next[at][s]
-                self.visits[at] += 1
+                self._meet(at, len(w) - i)
             self.ends[at] += 1
-        self._merge_states()
+        self._compact(self._merge_states())
+
+    def _meet(self, state: int, rest: int) -> None:
+        self.visits[state] += 1
+        self.rest[state][rest] = self.rest[state].get(rest, 0) + 1
 
-    def _near(self, a: int, n: int, b: int, m: int) -> bool:
-        if not n or not m:
-            return True
-        return abs(a / n - b / m) < (1 / math.sqrt(n) + 1 / math.sqrt(m)) * math.sqrt(0.5 * math.log(2 / self.alpha))
+    def _apart(self, p: int, q: int) -> float:
+        """The greatest gap between the distributions of the lengths to come."""
+        n, m, gap, most = self.visits[p], self.visits[q], 0.0, 0.0
+        for k in sorted({*self.rest[p], *self.rest[q]}):
+            gap += self.rest[p].get(k, 0) / n - self.rest[q].get(k, 0) / m
+            most = max(most, abs(gap))
+        return most
 
     def _compatible(self, red: int, blue: int) -> bool:
-        todo = [(red, blue)]
+        todo = [(red, blue, AHEAD)]
         while todo:
-            p, q = todo.pop()
+            p, q, ahead = todo.pop()
             n, m = self.visits[p], self.visits[q]
-            if not self._near(self.ends[p], n, self.ends[q], m):
+            near = (1 / math.sqrt(n) + 1 / math.sqrt(m)) * self.bound
+            if abs(self.ends[p] / n - self.ends[q] / m) >= near or self._apart(p, q) >= near:
                 return False
             for s in {*self.next[p], *self.next[q]}:
-                if not self._near(self.hits[p].get(s, 0), n, self.hits[q].get(s, 0), m):
+                if abs(self.hits[p].get(s, 0) / n - self.hits[q].get(s, 0) / m) >= near:
                     return False
-                if s in self.next[p] and s in self.next[q]:
-                    todo.append((self.next[p][s], self.next[q][s]))
+                if ahead and s in self.next[p] and s in self.next[q]:
+                    todo.append((self.next[p][s], self.next[q][s], ahead - 1))
         return True
 
     def _fold(self, red: int, blue: int) -> None:
@@ -125,6 +154,8 @@ class Automaton:
             p, q = todo.pop()
             self.visits[p] += self.visits[q]
             self.ends[p] += self.ends[q]
+            for k, c in self.rest[q].items():
+                self.rest[p][k] = self.rest[p].get(k, 0) + c
             for s, q2 in self.next[q].items():
                 self.hits[p][s] = self.hits[p].get(s, 0) + self.hits[q][s]
                 if s in self.next[p]:
@@ -132,34 +163,42 @@ class Automaton:
                 else:
                     self.next[p][s] = q2
 
-    def _merge_states(self) -> None:
+    def _merge_states(self) -> list[int]:
         red = [0]
         while True:
             known = set(red)
-            blue = sorted({(t, p, s) for p in red for s, t in self.next[p].items() if t not in known})
+            blue = [(-self.visits[t], t, p, s) for p in red for s, t in self.next[p].items() if t not in known]
             if not blue:
-                self.states = red
-                return
-            b, parent, sym = blue[0]
-            # a state met seldom is compatible with anything; it is compared in order of discovery all the same
-            for r in red:
-                if self._compatible(r, b):
-                    self.next[parent][sym] = r
-                    self._fold(r, b)
-                    break
+                return red
+            _, b, parent, sym = min(blue)
+            # a state met seldom is compatible with many: it goes to the one whose lengths are likest
+            fits = [(self._apart(r, b), i) for i, r in enumerate(red) if self._compatible(r, b)]
+            if fits:
+                r = red[min(fits)[1]]
+                self.next[parent][sym] = r
+                self._fold(r, b)
             else:
                 red.append(b)
 
+    def _compact(self, red: list[int]) -> None:
+        number = {r: i for i, r in enumerate(red)}
+        self.next = [{s: number[t] for s, t in self.next[r].items()} for r in red]
+        self.hits, self.ends, self.visits = ([table[r] for r in red] for table in (self.hits, self.ends, self.visits))
+        self.states = list(range(len(red)))
+        del self.rest
+
+    def end_bits(self, state: int) -> float:
+        return math.log2(self.ends[state] / (self.visits[state] + 1)) if self.ends[state] else -math.inf
+
     def bits(self, word: list[str]) -> float:
-        """log2 of the probability, with a little held back for symbols not seen."""
+        """log2 of the probability; a step or an end never met is impossible."""
         at, total = 0, 0.0
         for s in word:
-            n = self.visits[at] + 1
             if s not in self.next[at]:
                 return -math.inf
-            total += math.log2(self.hits[at][s] / n)
+            total += math.log2(self.hits[at][s] / (self.visits[at] + 1))
             at = self.next[at][s]
-        return total + math.log2((self.ends[at] + 1e-3) / (self.visits[at] + 1))
+        return total + self.end_bits(at)
 
 
 class Format:
@@ -176,18 +215,17 @@ class Format:
         each = [e for e in each if e > -math.inf]
         mean = sum(each) / len(each)
         self.least = mean - 4 * (sum((e - mean) ** 2 for e in each) / len(each)) ** 0.5 - 0.05
-        self.shortest = min(map(len, words))
 
         n = [v + 1 for v in self.machine.visits]
         known = {x for q in self.machine.states for x in self.machine.next[q]}
         #: The most bits that a symbol, or the end, brings in any state.
         self.most = {x: max(math.log2(self.machine.hits[q][x] / n[q]) for q in self.machine.states if x in self.machine.next[q]) for x in known}
-        self.end_bits = {q: math.log2((self.machine.ends[q] + 1e-3) / n[q]) for q in self.machine.states}
+        self.end_bits = {q: self.machine.end_bits(q) for q in self.machine.states}
         chars = "".join(c for c in _ALNUM + SEPARATORS if _class.get(c, c) in known)
         self.body = re.compile(f"[{re.escape(chars)}]*")
 
     def fits(self, text: str) -> bool:
-        if len(text) < self.shortest or not text.startswith(self.prefix):
+        if not text.startswith(self.prefix):
             return False
         own = symbols(text[len(self.prefix) :])
         got = self.machine.bits(own)
@@ -217,20 +255,17 @@ class Format:
         m, done, a, b = self.machine, 0, 0, -1
         for start in self.starts(part):
             i = start + len(self.prefix)
-            if start < done or len(part) - start < self.shortest:
+            if start < done:
                 continue
             if not a <= i <= b:
                 a, b = self.body.match(part, i).span()
                 own = symbols(part[a:b])
-                over, spare = self._bounds(own) if b - start >= self.shortest else ([], [])
-            if b - start < self.shortest:
-                continue
+                over, spare = self._bounds(own)
             state, got, prose, end = 0, 0.0, sum(math.log2(_PROSE.get(s, 0.005)) for s in symbols(self.prefix)), -1
             while True:
-                if i - start >= self.shortest:
-                    total = got + self.end_bits[state]
-                    if total / (i - start) >= self.least and total - prose >= BITS:
-                        end = i
+                total = got + self.end_bits[state]
+                if total - prose >= BITS and total / (i - start) >= self.least:
+                    end = i
                 if i == b or got - prose + over[i - a] < BITS - 1e-6 or got - self.least * (i - start) + spare[i - a] < -1e-6:
                     break
                 s = own[i - a]
@@ -267,12 +302,12 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return out
 
 
-def inferred_spans(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+def inferred_spans(text: str, base: list[tuple[int, str, int]], machines: tuple[Format, ...]) -> list[tuple[int, str, int]]:
     """(start, kind, end) of candidates that an automaton accepts, outside of the base spans."""
     out: list[tuple[int, str, int]] = []
     for run in RUN.finditer(text):
         known = [(s, t) for s, _, t in base if s < run.end() and t > run.start()]
-        for f in formats():
+        for f in machines:
             for a, e in f.spans(run[0]):
                 a, e = run.start() + a, run.start() + e
                 # a part of a credential that another format names is not one more
@@ -283,12 +318,12 @@ def inferred_spans(text: str, base: list[tuple[int, str, int]]) -> list[tuple[in
     return out
 
 
-def scan(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
+def scan(text: str | None, machines: tuple[Format, ...] | None = None) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
     """Base spans and all spans, each in order."""
     text = text or ""
     base = base_spans(text)
     order = lambda spans: sorted(spans, key=lambda s: (s[0], KINDS.index(s[1])))
-    return order(base), order(base + inferred_spans(text, base))
+    return order(base), order(base + inferred_spans(text, base, machines or formats()))
 
 
 def joined(spans: list[tuple[int, str, int]]) -> str:
@@ -301,12 +336,13 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     counts = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:3]]
     schema = T.StructType([plain.schema[0], *counts, T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
+    machines = formats()  # inferred once, here; a few hundred states go along with the task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for t in batch.column(1).to_pylist():
-                base, every = scan(t)
+                base, every = scan(t, machines)
                 kinds = [k for _, k, _ in base]
                 rows.append((*(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
