@@ -10,7 +10,10 @@ every distinct n-gram and 16 for every distinct context of the corpus.
 
 A document's perplexity is compared with its language's: the band reaches
 ``reach`` interquartile ranges beyond the quartiles of log-perplexity on either
-side, over the language's documents that pass the base rules.
+side, over the language's documents that pass the base rules.  Quartiles are
+within a ten-thousandth of the ranks (exact ones would hold a language's
+documents in one task), so a band may move in its last digits with the
+partitioning.
 
 Defined results: a null text has no words and fails the base rules; a null
 language has a band of its own; a text without characters has no perplexity;
@@ -354,7 +357,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text",
     return out.select(*(F.col(n).alias(c) for c, n in zip(carry, names, strict=False)), *fields, "__tv_q_log_ppl")
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, reach: float = 4.0, narrowest: float = 0.05) -> DataFrame:
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, reach: float = 2.0, narrowest: float = 0.05) -> DataFrame:
     """The carried columns with a struct ``__tv_rules``: base counts, base_failed, log_ppl, kept.
 
     ``narrowest`` is the least interquartile range assumed, for languages of a few documents.
