@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -59,11 +60,40 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives executors."""
+#: Tables written by this thread's operators and not yet discarded.
+_mine = threading.local()
+
+
+def stash(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives executors.
+
+    With ``keep`` the table outlives ``drop_tables``.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.tv_path = path
+    if not keep:
+        _mine.__dict__.setdefault("paths", set()).add(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stashed tables that no frame still to be computed reads."""
+    for t in tables:
+        _delete(t.sparkSession, t.tv_path)
+        _mine.__dict__.setdefault("paths", set()).discard(t.tv_path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes what this thread's operators have stashed: for when all their results have been written."""
+    for path in _mine.__dict__.pop("paths", set()):
+        _delete(spark, path)
 
 
 def whole_number_id(df: DataFrame, col: str) -> Column:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 
 WORD = r"[^\x20\x09-\x0D]+"
 LONG_WORDS = 50
@@ -38,7 +38,7 @@ def _barrier(df: DataFrame, **made: Column) -> DataFrame:
 
 
 def row_key(id_col: Column, text: Column) -> Column:
-    return F.md5(F.concat_ws(":", id_col.cast("string"), F.md5(F.coalesce(text, F.lit("")))))
+    return F.unhex(F.md5(F.concat_ws(":", id_col.cast("string"), F.md5(F.coalesce(text, F.lit(""))))))
 
 
 def lines_of(text: Column) -> Column:
@@ -76,10 +76,11 @@ def chunk_hash(chunk: Column) -> Column:
     return F.unhex(F.md5(chunk))
 
 
-def repeated_chunks(docs: DataFrame, divisor: int, long_words: int) -> DataFrame:
+def repeated_chunks(docs: DataFrame, divisor: int, long_words: int) -> tuple[DataFrame, list[DataFrame]]:
     """(rk, marks: array of (first, n, ck, is_first, rests)) for the rows of docs(id, text) with chunks met more than once.
 
     ``rests`` marks those that stay whatever their bytes: first occurrences and what overlaps them.
+    The tables that it reads come second.
     """
     # hashed inside the row: a row for each chunk would carry all lines of its text along
     body = lambda c: chunk_text(c["first"], c["n"])
@@ -91,28 +92,31 @@ def repeated_chunks(docs: DataFrame, divisor: int, long_words: int) -> DataFrame
     again = stash(again.withColumnsRenamed({"rk": "head_rk", "first": "head_first"}), "line-repeats")  # joined from a table, a frequent chunk's rows can be split
     own = F.col("rk") == F.col("head_rk")
     mark = F.struct("first", "n", "ck", (own & (F.col("first") == F.col("head_first"))).alias("is_first"), (own & (F.abs(F.col("first") - F.col("head_first")) < F.col("n"))).alias("rests"))
-    return light.join(again, "ck").select("rk", mark.alias("mark")).groupBy("rk").agg(F.collect_set("mark").alias("marks"))
+    return light.join(again, "ck").select("rk", mark.alias("mark")).groupBy("rk").agg(F.collect_set("mark").alias("marks")), [light, again]
 
 
-def differing(marked: DataFrame) -> DataFrame:
-    """(rk, bad: array of (first, n)): chunks whose bytes are not those of the first occurrence with their hash."""
+def differing(marked: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(rk, bad: array of (first, n)): chunks whose bytes are not those of the first occurrence with their hash; then the tables read."""
     lines = _barrier(marked.where("marks is not null"), lines=lines_of(F.col("text")))
     whole = F.transform("marks", lambda m: F.struct(m["first"].alias("first"), m["n"].alias("n"), m["ck"].alias("ck"), m["is_first"].alias("is_first"), m["rests"].alias("rests"), chunk_text(m["first"], m["n"]).alias("chunk")))
     texts = lines.select("rk", F.explode(whole).alias("mark")).select("rk", "mark.*")
     texts = stash(texts.where("is_first or not rests"), "line-marks")
     firsts = stash(texts.where("is_first").select("ck", F.col("chunk").alias("first_chunk")).distinct(), "line-firsts")
     other = texts.where("not is_first").join(firsts, "ck", "left").where("first_chunk is null or chunk <> first_chunk")
-    return other.groupBy("rk").agg(F.collect_set(F.struct("first", "n")).alias("bad"))
+    return other.groupBy("rk").agg(F.collect_set(F.struct("first", "n")).alias("bad")), [texts, firsts]
 
 
 def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 1, long_words: int = LONG_WORDS) -> DataFrame:
     """The rows of ``docs`` with a struct ``__tv_lines``: text, n_lines, n_removed_lines, n_removed_chunks."""
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    marks = repeated_chunks(docs.select(ident.alias("id"), text.alias("text")), divisor, long_words)
+    marks, held = repeated_chunks(docs.select(ident.alias("id"), text.alias("text")), divisor, long_words)
     row = docs.select(row_key(ident, text).alias("rk"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     marked = stash(row.join(marks, "rk", "left"), "line-marked")
+    discard(*held)
     # no chunk differs unless two texts share a hash: a small table, read with its size known
-    bad = stash(differing(marked.select("rk", F.col(f"row.`{text_col}`").alias("text"), "marks")), "line-differing")
+    other, held = differing(marked.select("rk", F.col(f"row.`{text_col}`").alias("text"), "marks"))
+    bad = stash(other, "line-differing")
+    discard(*held)
     gone = F.transform(F.filter("marks", lambda m: ~m["rests"]), lambda m: F.struct(m["first"].alias("first"), m["n"].alias("n")))
     gone = F.when(F.col("bad").isNull(), gone).otherwise(F.filter(gone, lambda c: ~F.array_contains("bad", c)))
     text = F.col(f"row.`{text_col}`")
