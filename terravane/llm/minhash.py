@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, hold, lower_ascii, mix, partitions, ship, slices, space_mask, span_hashes, spans_equal, stash, text_buffers, whole_number_id, word_bounds
+from .common import append_columns, discard, hold, lower_ascii, mix, partitions, ship, slices, space_mask, span_hashes, spans_equal, stash, text_buffers, whole_number_id, word_bounds
 from .components import connected_components
 
 SHINGLE = 5
@@ -46,6 +46,8 @@ SKETCH_BITS = 36
 #: Standard errors by which an estimate may fall short of the threshold.
 ESTIMATE_SLACK = 4.0
 MEMBERS = 256
+#: Bits of the bitmap that keeps texts without a bucket mate from the shuffle: half a megabyte, sent to every task.
+SIEVE = 1 << 22
 #: Copies of a hub's sketch, dealt out with its partners.
 HUB_SALTS = 16
 TILE = 512
@@ -241,6 +243,16 @@ def _signed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id long, text string, n long, band binary, reg binary, own binary").where("n > 0")
 
 
+def _sieved(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """The texts but most of those whose id is not among the members: by a bitmap of ids' hashes, of ``SIEVE`` bits whatever their number."""
+    at = F.pmod(F.xxhash64("id"), F.lit(SIEVE))
+    bits = members.select(at.alias("at")).select(F.floor(F.col("at") / 64).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
+    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    placed = texts.withColumn("at", at).withColumn("word", F.floor(F.col("at") / 64))
+    met = placed.join(F.broadcast(words), "word").where("shiftright(bits, cast(at % 64 as int)) & 1 = 1")
+    return met.select(*texts.columns)
+
+
 def _least_estimate(percent: int, n: np.ndarray | int) -> np.ndarray:
     """The threshold less the slack; a set of n fills about REGISTERS * (1 - exp(-n / REGISTERS)) registers itself."""
     t, full = percent / 100, REGISTERS * (1 - np.exp(-np.asarray(n) / REGISTERS))
@@ -396,19 +408,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.join(sketch("b"), "b").join(sketch("a").withColumn("salt", every), ["a", "salt"]).where(fits).select("a", "b")
 
     texts = docs.select(whole_number_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text"))
-    nodes = stash(_signed(texts.join(star.select("id").distinct(), "id", "left_semi")), "minhash-nodes")
-    tested = stash(_estimated(stash(pairs, "minhash-fitting"), nodes, percent), "minhash-pairs")
+    members = stash(star.select("id").distinct(), "minhash-ids")
+    nodes = stash(_signed(_sieved(texts, members).join(members, "id", "left_semi")), "minhash-nodes")
+    fitting = stash(pairs, "minhash-fitting")
+    tested = stash(_estimated(fitting, nodes, percent), "minhash-pairs")
     links = stash(_verified(tested, nodes, percent), "minhash-links")
-    first = stash(connected_components(links), "minhash-components").select(F.col("node").alias("id"), F.col("component").alias("c"))
+    discard(ends, members, fitting)
+    parts = stash(connected_components(links), "minhash-components")
+    named = lambda t: t.select(F.col("node").alias("id"), F.col("component").alias("c"))
 
-    labelled = star.join(first, "id", "left").select("h", "j", "id", F.coalesce("c", "id").alias("c"))
+    labelled = star.join(named(parts), "id", "left").select("h", "j", "id", F.coalesce("c", "id").alias("c"))
     mixed = stash(labelled.groupBy("h").agg(F.min("c").alias("lead"), F.max("c").alias("top")).where("lead < top").select("h", "lead"), "minhash-mixed")
-    more = _strays(stash(labelled.join(mixed, "h"), "minhash-mixed-members"), nodes, percent)
+    mixed_members = stash(labelled.join(mixed, "h"), "minhash-mixed-members")
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stash(more.join(known, ["a", "b"], "left_anti"), "minhash-more-pairs")
+    more = stash(_strays(mixed_members, nodes, percent).join(known, ["a", "b"], "left_anti"), "minhash-more-pairs")
+    discard(star, tested, mixed, mixed_members)
     if more.limit(1).count():
-        links = links.unionByName(stash(_verified(more, nodes, percent), "minhash-more-links"))
-        first = stash(connected_components(links), "minhash-components").select(F.col("node").alias("id"), F.col("component").alias("c"))
+        again = stash(_verified(more, nodes, percent), "minhash-more-links")
+        old, parts = parts, stash(connected_components(links.unionByName(again)), "minhash-components")
+        discard(again, old)
+    discard(more, links, nodes)
+    first = named(parts)
 
     words = reps.select("k1", "k2", "id").join(first, "id", "left").select("k1", "k2", F.coalesce("c", "id").alias("component_id"))
     light = sig.select("id", "n", "k1", "k2")
