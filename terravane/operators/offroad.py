@@ -60,6 +60,29 @@ class Ground:
         self.road, self.inside = road, np.ones(cost.shape, bool) if inside is None else inside
         self.cols = cost.shape[1]
 
+    def steps(self) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+        """Of each move, its offset among flat cells and its cost out of every cell; and the cells whose moves leave the disk."""
+        rows, cols = self.road.shape
+        wide = np.pad(self.passage, 2, constant_values=np.inf)
+        wall = np.pad(self.road, 2)
+        held = np.pad(self.inside, 2)
+        at = lambda table, i, j: table[2 + i : 2 + i + rows, 2 + j : 2 + j + cols]
+        out, rim = [], np.zeros((rows, cols), bool)
+        for (a, b), cells in zip(MOVES, crossings(), strict=True):
+            cost = np.zeros((rows, cols))
+            blocked = ~at(held, a, b)
+            rim |= blocked
+            for i, j, metres in cells:
+                p = at(wide, i, j)
+                blocked = blocked | np.isinf(p)
+                if metres > 0:
+                    cost += metres * np.where(np.isinf(p), 0.0, p)
+                    if (i, j) not in ((0, 0), (a, b)):
+                        blocked |= at(wall, i, j)
+            cost[blocked] = np.inf
+            out.append((a * cols + b, cost.ravel()))
+        return out, rim.ravel()
+
     def line(self, a: tuple[float, float], b: tuple[float, float], end: tuple[int, int]) -> float:
         """The cost of a straight line in metres from the block's corner; infinite where it is blocked or runs through another road's cell."""
         start = math.floor(a[0] / CELL), math.floor(a[1] / CELL)
@@ -78,42 +101,35 @@ def search(ground: Ground, row: int, col: int) -> tuple[float, list[tuple[int, i
 
     Ties go to the lower row, then column.
     """
-    rows, cols = ground.road.shape
-    passage, road, inside = ground.passage, ground.road, ground.inside
-    best, came, rim = {(row, col): 0.0}, {}, False
-    if not (np.isfinite(passage[row, col]) and inside[row, col]):
+    cols = ground.cols
+    if not (np.isfinite(ground.passage[row, col]) and ground.inside[row, col]):
         return math.inf, [], False
-    heap, done = [(0.0, row, col)], set()
-    moves = list(zip(MOVES, crossings(), strict=True))
+    steps, rim = ground.steps()
+    moves = [(k, off, memoryview(cost)) for k, (off, cost) in enumerate(steps)]
+    best, came, edge = np.full(ground.road.size, np.inf), np.full(ground.road.size, -1, np.int8), False
+    least, from_, road, outer, done = memoryview(best), memoryview(came), ground.road.ravel().tobytes(), rim.tobytes(), bytearray(ground.road.size)
+    start = row * cols + col
+    least[start] = 0.0
+    heap = [(0.0, start)]
     while heap:
-        d, r, c = heapq.heappop(heap)
-        if (r, c) in done:
+        d, i = heapq.heappop(heap)
+        if done[i]:
             continue
-        done.add((r, c))
-        if road[r, c]:
-            way = [(r, c)]
-            while way[-1] in came:
-                way.append(came[way[-1]])
-            return d, way[::-1], rim
-        for (a, b), cells in moves:
-            x, y = r + a, c + b
-            if not (0 <= x < rows and 0 <= y < cols) or not inside[x, y]:
-                rim = True
-                continue
-            if (x, y) in done:
-                continue
-            new = d
-            for i, j, metres in cells:
-                p = passage[r + i, c + j]
-                if p == math.inf or (metres > 0 and road[r + i, c + j] and (i, j) != (a, b)):
-                    new = math.inf
-                    break
-                new += metres * p
-            if new < best.get((x, y), math.inf):
-                best[x, y] = new
-                came[x, y] = (r, c)
-                heapq.heappush(heap, (new, x, y))
-    return math.inf, [], rim
+        done[i] = 1
+        if road[i]:
+            way = [i]
+            while way[-1] != start:
+                way.append(way[-1] - moves[from_[way[-1]]][1])
+            return d, [divmod(j, cols) for j in way[::-1]], edge
+        if outer[i]:
+            edge = True
+        for k, off, cost in moves:
+            new = d + cost[i]
+            if new < math.inf and new < least[i + off]:
+                least[i + off] = new
+                from_[i + off] = k
+                heapq.heappush(heap, (new, i + off))
+    return math.inf, [], edge
 
 
 def straightened(ground: Ground, turns: list[tuple[float, float]], end: tuple[int, int]) -> tuple[float, list[tuple[float, float]]]:
@@ -147,8 +163,11 @@ def way(cost: np.ndarray, road: np.ndarray, n: float, e: float, max_distance: fl
         return math.inf, [], max_distance
     reach = min(max(FIRST_REACH, 2 * near), max_distance)
     while True:
-        ground = Ground(cost, road, far <= reach)
-        total, cells, rim = search(ground, row, col)
+        k = int(reach // CELL) + 2
+        top, left = max(0, row - k), max(0, col - k)
+        cut = slice(top, row + k + 1), slice(left, col + k + 1)
+        total, cells, rim = search(Ground(cost[cut], road[cut], (far <= reach)[cut]), row - top, col - left)
+        cells = [(i + top, j + left) for i, j in cells]
         if total <= reach or reach >= max_distance or (total == math.inf and not rim):
             break
         reach = min(2 * reach, max_distance)
