@@ -35,6 +35,13 @@ def raster(n: str, e: str) -> str:
     return f"({corner(r, c)} * (1e0 - {fr}) * (1e0 - {fc}) + {corner(r, f'{c} + 1')} * (1e0 - {fr}) * {fc} + {corner(f'{r} + 1', c)} * {fr} * (1e0 - {fc}) + {corner(f'{r} + 1', f'{c} + 1')} * {fr} * {fc})"
 
 
+def triangle(asked: str) -> str:
+    """Heights of the plane through the three cell centres around each point, two triangles between four of them."""
+    r, c = "floor(n / 50e0 - 0.5e0)", "floor(e / 50e0 - 0.5e0)"
+    at = f"(SELECT id, n / 50e0 - 0.5e0 - {r} AS fr, e / 50e0 - 0.5e0 - {c} AS fc, {corner(r, c)} AS sw, {corner(r, f'{c} + 1')} AS se, {corner(f'{r} + 1', c)} AS nw, {corner(f'{r} + 1', f'{c} + 1')} AS ne FROM {asked} p)"
+    return f"SELECT id, round(CASE WHEN fr + fc <= 1e0 THEN sw + fr * (nw - sw) + fc * (se - sw) ELSE ne + (1e0 - fr) * (se - ne) + (1e0 - fc) * (nw - ne) END, 6) AS height FROM {at} q"
+
+
 def sweep(site_rows: str, radius: int) -> str:
     """(id, r, c, n, e, n0, e0, d, h, floor_agl): the least visible height above ground of each cell around each site (id, n0, e0, a0)."""
     radials = max(8, -int(-(2 * 3.141592653589793 * radius / 50) // 1))

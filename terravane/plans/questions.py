@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import shapes as S
-from ..operators import airfields, network, offroad, points, settlements, sight, sites, windows
+from ..operators import airfields, mesh, network, offroad, points, settlements, sight, sites, windows
 from ..sources.catalog import Terrain, synthetic
 from ..sources.synthetic import CELL
 from .closed_form import layers as form_layers
@@ -266,6 +266,20 @@ def q_unmask_profile(terrain: Terrain, table: Callable) -> DataFrame:
     return rounded(sight.unmask(terrain, asked, 100.0), from_m=3, to_m=3)
 
 
+# --- the mesh between cell centres
+
+
+_MESH = ((920, 959), (620, 659))
+_ON_MESH = "(SELECT p_partkey AS id, CAST(46030 + (p_partkey * 7919) % 1980 AS DOUBLE) AS n, CAST(31030 + (p_partkey * 104729) % 1980 AS DOUBLE) AS e FROM {t:part})"
+
+
+@asks(O.triangle(_ON_MESH))
+def q_mesh_ground(terrain: Terrain, table: Callable) -> DataFrame:
+    k = F.col("id")
+    asked = table("part").select(F.col("p_partkey").alias("id")).withColumns({"n": (46030 + (k * 7919) % 1980).cast("double"), "e": (31030 + (k * 104729) % 1980).cast("double")})
+    return mesh.ground(mesh.from_cells(terrain, *_MESH), asked).select("id", F.round("height", 6).alias("height"))
+
+
 # --- sites and objects
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from terravane.functions import projection as P
 from terravane.functions import raster as R
 from terravane.functions import shapes as S
-from terravane.operators import airfields, components, network, offroad, points, settlements, sight, sites, windows
+from terravane.operators import airfields, components, mesh, network, offroad, points, settlements, sight, sites, windows
 from terravane.plans import questions
 from terravane.sources import catalog
 from terravane.sources.synthetic import CELL, COVER, Form
@@ -145,6 +145,51 @@ def test_point_floor_agrees_with_visibility(spark, terrain):
     assert all(x["visible"] == (x["id"] % 10 == 0) for x in sight.visible(terrain, pairs).collect())
 
 
+# --- mesh
+
+
+def test_mesh_lines_by_sampling(spark):
+    """A roof of four triangles with a higher-ranked strip across it, against heights sampled by hand."""
+    corners = [(0.0, 0.0, 0.0), (0.0, 300.0, 30.0), (300.0, 300.0, 90.0), (300.0, 0.0, 60.0)]
+    top = (150.0, 150.0, 200.0)
+    rows = [(i, 0, *corners[i], *corners[(i + 1) % 4], *top) for i in range(4)]
+    rows += [(10, 5, 100.0, 0.0, 20.0, 100.0, 300.0, 20.0, 140.0, 300.0, 20.0), (11, 5, 100.0, 0.0, 20.0, 140.0, 300.0, 20.0, 140.0, 0.0, 20.0)]
+    tri = spark.createDataFrame(rows, "tri long, rank long, n1 double, e1 double, h1 double, n2 double, e2 double, h2 double, n3 double, e3 double, h3 double")
+
+    def height(n, e):
+        best = None
+        for t in rows:
+            (n1, e1, h1), (n2, e2, h2), (n3, e3, h3) = t[2:5], t[5:8], t[8:11]
+            m = np.array([[n1, n2, n3], [e1, e2, e3], [1, 1, 1]])
+            w = np.linalg.solve(m, [n, e, 1])
+            if w.min() >= -1e-9 and (best is None or t[1] >= best[0]):
+                best = (t[1], float(w @ [h1, h2, h3]))
+        return None if best is None else best[1]
+
+    r = random.Random(12)
+    at = [(i, r.uniform(-20, 320), r.uniform(-20, 320)) for i in range(60)]
+    got = {x["id"]: x["height"] for x in mesh.ground(tri, spark.createDataFrame(at, "id long, n double, e double")).collect()}
+    assert all((got[i] is None) == (height(n, e) is None) and (got[i] is None or got[i] == pytest.approx(height(n, e))) for i, n, e in at)
+    pairs = [(i, r.uniform(-50, 350), r.uniform(-50, 350), r.uniform(20, 250), r.uniform(-50, 350), r.uniform(-50, 350), r.uniform(20, 250)) for i in range(25)]
+    df = spark.createDataFrame(pairs, "id long, n1 double, e1 double, alt1 double, n2 double, e2 double, alt2 double")
+    seen = {x["id"]: x for x in mesh.visible(tri, df).collect()}
+    tops = {x["id"]: x["height"] for x in mesh.highest(tri, df).collect()}
+    for i, n1, e1, a1, n2, e2, a2 in pairs:
+        t = np.linspace(0, 1, 1201)
+        g = [height(n1 + (n2 - n1) * x, e1 + (e2 - e1) * x) for x in t]
+        known = [(a1 + (a2 - a1) * x - h, h) for x, h in zip(t, g, strict=True) if h is not None]
+        if not known:
+            assert seen[i]["visible"] and i not in tops
+            continue
+        low = min(k[0] for k in known)
+        assert seen[i]["clearance"] <= low + 1e-6 and seen[i]["clearance"] > low - 2.5 and tops[i] >= max(k[1] for k in known) - 1e-6
+        if abs(low) > 2.5:
+            assert seen[i]["visible"] == (low > 0)
+        if not seen[i]["visible"]:
+            h = height(seen[i]["block_n"], seen[i]["block_e"])
+            assert h is None or abs(h - seen[i]["block_h"]) < 190
+
+
 # --- off road
 
 
