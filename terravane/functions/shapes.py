@@ -230,14 +230,24 @@ def covered_cells(shape: Shape) -> list[tuple[int, int]]:
     """Cells that a shape reaches into by more than a micron; at least the cell of its middle."""
     s, w, t, r = shape.bounds()
     o = shape.middle()
-    near = shape.moved(-o[0], -o[1])
-    inset, out = 2 * TOUCH, []
-    for i in range(math.floor(s / CELL), math.floor(t / CELL) + 1):
-        for j in range(math.floor(w / CELL), math.floor(r / CELL) + 1):
-            a, b = i * CELL - o[0], j * CELL - o[1]
-            cell = Shape(((a + inset, b + inset), (a + inset, b + CELL - inset), (a + CELL - inset, b + CELL - inset), (a + CELL - inset, b + inset)))
-            if near.meets(cell):
-                out.append((i, j))
+    i, j = np.meshgrid(np.arange(math.floor(s / CELL), math.floor(t / CELL) + 1), np.arange(math.floor(w / CELL), math.floor(r / CELL) + 1), indexing="ij")
+    i, j = i.ravel(), j.ravel()
+    inset = 2 * TOUCH
+    low = np.stack([i * CELL - o[0] + inset, j * CELL - o[1] + inset])
+    high = np.stack([(i + 1) * CELL - o[0] - inset, (j + 1) * CELL - o[1] - inset])
+    at = np.array(shape.corners) - np.array(o)
+    if len(at) == 1:
+        gap = np.sqrt((np.maximum(np.maximum(low - at[0][:, None], at[0][:, None] - high), 0) ** 2).sum(0)) - shape.radius
+    else:
+        # convex shapes are apart if some side's normal or a cell's axis tells them apart
+        gap = np.full(len(i), -np.inf)
+        sides = np.roll(at, -1, axis=0) - at
+        for n, e in [(1.0, 0.0), (0.0, 1.0), *((b / math.hypot(a, b), -a / math.hypot(a, b)) for a, b in sides.tolist() if a or b)]:
+            own = at @ np.array([n, e])
+            cells = np.stack([n * x[0] + e * y[1] for x in (low, high) for y in (low, high)])
+            np.maximum(gap, np.maximum(cells.min(0) - own.max(), own.min() - cells.max(0)), out=gap)
+        gap -= shape.radius
+    out = [(int(a), int(b)) for a, b, g in zip(i, j, gap, strict=True) if g <= TOUCH]
     return out or [(math.floor(o[0] / CELL), math.floor(o[1] / CELL))]
 
 

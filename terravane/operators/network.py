@@ -340,7 +340,7 @@ def route_alternatives(terrain: Terrain, requests: DataFrame, network: str = "ro
         a, b = net.snap(q["n1"], q["e1"])[:2], net.snap(q["n2"], q["e2"])[:2]
         kept = alternatives(net, a, b, lambda e: 1.0, k, max_stretch, max_overlap, penalty, _unhindered(net, avoid))
         sizes = [net.length(f) for f in kept]
-        common = sorted(set.intersection(*({e for e, _, _ in f.pieces} for f in kept))) if kept else []
+        common = [e for e, _, _ in shared_by_all(kept)]
         out = []
         for i, f in enumerate(kept):
             overlap = max((net.shared(f, o) / sizes[i] if sizes[i] else 1.0 for j, o in enumerate(kept) if j != i), default=0.0)
@@ -433,6 +433,27 @@ def chokepoints(terrain: Terrain, network: str = "road", region: Region | None =
     return out.orderBy(F.desc("betweenness"), "edge_id").limit(limit)
 
 
+def shared_by_all(routes: list[Found]) -> list[tuple[int, float, float]]:
+    """The stretches (edge, from, to) that every route runs along, by edge; of an edge run along twice the longest."""
+    out = []
+    for e in sorted(set.intersection(*({p[0] for p in r.pieces} for r in routes))) if routes else ():
+        common = [(0.0, 1.0)]
+        for r in routes:
+            own = [(min(a, b), max(a, b)) for f, a, b in r.pieces if f == e]
+            common = [(max(a, c), min(b, d)) for a, b in common for c, d in own if min(b, d) > max(a, c)]
+        if common:
+            out.append((e, *max(common, key=lambda x: x[1] - x[0])))
+    return out
+
+
+def top_decile(terrain: Terrain, network: str = "road") -> DataFrame:
+    """The edges of a network whose betweenness is at or over the cut of its top tenth, and over 0."""
+    known = betweenness(terrain, network)
+    ranked = known.agg(F.sort_array(F.collect_list("betweenness")).alias("all"))  # one number an edge
+    cut = ranked.select(F.element_at("all", (F.floor(F.size("all") * 9 / 10) + 1).cast("int")).alias("cut"))
+    return known.join(F.broadcast(cut)).where("betweenness >= cut and betweenness > 0").drop("cut")
+
+
 def edges_meeting(terrain: Terrain, network: str, region: Region) -> DataFrame:
     """(edge_id) of the edges that meet a region."""
 

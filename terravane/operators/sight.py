@@ -112,6 +112,22 @@ def mask(terrain: Terrain, sites: DataFrame, within: float = CELL / 2) -> DataFr
     return on_blocks(terrain, sites, around(F.col("n"), F.col("e"), F.col("radius")), kernel, "id long, row long, col long, rows long, cols long, bits string, visible_fraction double, polygons string")
 
 
+def floor_raster(terrain: Terrain, sites: DataFrame) -> DataFrame:
+    """(id, row, col, rows, cols, agl): each site's floor as one row, base64 of little-endian floats, NaN beyond its disk."""
+
+    def kernel(q: dict, block: R.Block) -> dict[str, list]:
+        import base64
+
+        s = _swept(q, block)
+        if s is None:
+            return {k: [] for k in ("id", "row", "col", "rows", "cols", "agl")}
+        grid = np.full((int(np.ptp(s.r)) + 1, int(np.ptp(s.c)) + 1), np.nan, "<f4")
+        grid[s.r - s.r.min(), s.c - s.c.min()] = s.floor
+        return {"id": [q["id"]], "row": [int(s.r.min())], "col": [int(s.c.min())], "rows": [grid.shape[0]], "cols": [grid.shape[1]], "agl": [base64.b64encode(grid.tobytes()).decode()]}
+
+    return on_blocks(terrain, sites, around(F.col("n"), F.col("e"), F.col("radius")), kernel, "id long, row long, col long, rows long, cols long, agl string")
+
+
 def floor_bands(terrain: Terrain, sites: DataFrame, bands: tuple[float, ...] = BANDS) -> DataFrame:
     """(id, alt_agl, covered_fraction, cells): the share of each site's disk seen at each height above ground."""
     each = F.explode(F.array(*(F.lit(b) for b in bands)))

@@ -208,6 +208,13 @@ def layers(terrain: Terrain, names: list[str], rows: tuple[int, int], cols: tupl
     return layer_cells(terrain, names, tiles_of(terrain, rows, cols), rows, cols)
 
 
+def zone_map(terrain: Terrain, names: list[str], rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
+    """(tile_r, tile_c, least and greatest of each layer): what a tile can hold, for leaving it out of a search."""
+    tile = lambda v: F.floor(F.col(v) / TILE).cast("int")
+    ends = [f(n).alias(f"{n}_{k}") for n in names for k, f in (("min", F.min), ("max", F.max))]
+    return layers(terrain, names, rows, cols).groupBy(tile("r").alias("tile_r"), tile("c").alias("tile_c")).agg(*ends)
+
+
 def horizon(terrain: Terrain, rows: tuple[int, int], cols: tuple[int, int], reach: float = R.HORIZON_RANGE) -> DataFrame:
     """(hr, hc, bins, enclosure) of the horizon cells (four by four cells) that a window of cells meets.
 

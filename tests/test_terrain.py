@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from terravane.functions import projection as P
 from terravane.functions import raster as R
 from terravane.functions import shapes as S
-from terravane.operators import airfields, components, mesh, network, offroad, points, settlements, sight, sites, windows
+from terravane.operators import airfields, components, mesh, network, offroad, points, reference, settlements, sight, sites, windows
 from terravane.plans import questions
 from terravane.sources import catalog
 from terravane.sources.synthetic import CELL, COVER, Form
@@ -627,6 +627,45 @@ def test_nearest_by_rings_equals_the_whole_table(spark, terrain, monkeypatch):
         points.nearest(terrain, asked, "star")
 
 
+# --- reference data
+
+
+def test_a_projection_is_fitted(spark):
+    crs = P.Mercator(33.0, 99517.0, 4998115.0)
+    r = random.Random(3)
+    rows = []
+    for k in range(8):
+        lat, lon = 44 + r.random(), 34 + 2 * r.random()
+        x, z = (float(v) for v in crs.forward(np.float64(lat), np.float64(lon), P.ARRAYS))
+        rows.append((x + (50 if k == 7 else 0), z, lat, lon))
+    df = spark.createDataFrame(rows, "x double, z double, lat double, lon double")
+    got = reference.fit_projection(df).first()
+    assert (got["lon0"], got["n"]) == (33.0, 7) and got["easting"] == pytest.approx(99517, abs=1e-3) and got["northing"] == pytest.approx(4998115, abs=1e-3) and got["rms"] < 1e-3
+    assert reference.fit_projection(df.limit(2)).count() == 0
+
+
+def test_names_places_and_shares(spark, terrain):
+    assert [x["name"] for x in reference.alike(terrain, "Tòwn 2").collect()][0] == "town_2" and reference.alike(terrain, "zzz").count() == 0
+    at = spark.createDataFrame([(1, 60025.0, 20000.0), (2, 60025.0, 40000.0)], "id long, n double, e double")
+    assert {x["id"]: x["airdrome_id"] for x in reference.airdrome_at(terrain, at).collect()} == {1: 1, 2: None}
+    low, high = reference.wilson(F.col("h"), F.col("n"))
+    w = spark.createDataFrame([(8, 10)], "h int, n int").select(low.alias("a"), high.alias("b")).first()
+    assert w["a"] == pytest.approx(0.4901, abs=1e-3) and w["b"] == pytest.approx(0.9433, abs=1e-3)
+    assert terrain.path in [p.removeprefix("file:") for p, _ in reference.terrains(spark)] or terrain.path.removeprefix("file:") in [p.removeprefix("file:") for p, _ in reference.terrains(spark)]
+
+
+def test_zones_deciles_and_common_stretches(spark, terrain):
+    zones = windows.zone_map(terrain, ["height"], (900, 1000), (600, 700)).collect()
+    cells = terrain.grid((900, 1000), (600, 700)).collect()
+    for z in zones:
+        mine = [c["h"] for c in cells if c["r"] // 64 == z["tile_r"] and c["c"] // 64 == z["tile_c"]]
+        assert (z["height_min"], z["height_max"]) == (min(mine), max(mine))
+    top = network.top_decile(terrain).collect()
+    assert {x["edge_id"] for x in top} <= {2, 3, 4} and top
+    a, b = network.Found([(1, 0.2, 1.0), (2, 0.0, 1.0)]), network.Found([(1, 0.9, 0.0), (3, 0.0, 1.0)])
+    assert network.shared_by_all([a, b]) == [(1, 0.2, 0.9)] and network.shared_by_all([]) == []
+
+
 # --- batches
 
 
