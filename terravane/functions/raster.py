@@ -7,7 +7,7 @@ ground is NaN (heights) or -1 (codes).
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -35,6 +35,8 @@ class Block:
     surface: np.ndarray
     cover: np.ndarray
     form: Form | None = None
+    #: Layers computed once for all that ask of this block.
+    kept: dict = field(default_factory=dict)
 
     @classmethod
     def from_tiles(cls, tiles: list[tuple[int, int, bytes, bytes, bytes, bytes]], row: int, col: int, rows: int, cols: int, form: Form | None = None) -> Block:
@@ -58,6 +60,11 @@ class Block:
     def shape(self) -> tuple[int, int]:
         return self.h.shape
 
+    def slope(self) -> np.ndarray:
+        if "slope" not in self.kept:
+            self.kept["slope"] = slope_layers(self.h)["slope"]
+        return self.kept["slope"]
+
     def centres(self) -> tuple[np.ndarray, np.ndarray]:
         r, c = np.meshgrid(np.arange(self.shape[0]) + self.row, np.arange(self.shape[1]) + self.col, indexing="ij")
         return r * float(CELL) + CELL / 2, c * float(CELL) + CELL / 2

@@ -449,7 +449,7 @@ def validate_placements(terrain: Terrain, placements: DataFrame) -> DataFrame:
         else:
             on, depth, water, cover = ~np.isnan(block.h[i, j]), np.full(len(i), np.nan), block.water[i, j], block.cover[i, j]
             wood = cover == COVER["forest"]
-        slope = R.slope_layers(block.h)["slope"][i, j]
+        slope = block.slope()[i, j]
         issues = []
         if (~on).any():
             issues.append("no_ground")
@@ -480,7 +480,7 @@ def validate_placements(terrain: Terrain, placements: DataFrame) -> DataFrame:
         )
         return {k: [v] for k, v in zip(fields, row, strict=True)}
 
-    return on_blocks(terrain, asked, around(F.col("n"), F.col("e"), F.col("__reach")), kernel, PLACED)
+    return on_blocks(terrain, asked, around(F.col("n"), F.col("e"), F.col("__reach")), kernel, PLACED, together=True)
 
 
 def shape_of(q: dict) -> S.Shape:

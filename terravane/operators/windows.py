@@ -22,6 +22,8 @@ from ..sources.synthetic import CELL, COVER, RAIL, ROAD, SEA, TILE
 
 #: Cells of one window at most.
 MOST_CELLS = 4 << 20
+#: Requests that may share a block if all lie in one tile.
+TOGETHER = 20_000
 _TILE_FIELDS = ("tile_r", "tile_c", *LAYERS)
 
 
@@ -32,29 +34,46 @@ def around(n: Column, e: Column, reach: Column) -> dict[str, Column]:
     return {"row": low(n), "col": low(e), "row_end": high(n), "col_end": high(e)}
 
 
-def on_blocks(terrain: Terrain, requests: DataFrame, window: dict[str, Column], kernel: Callable[[dict, R.Block], dict[str, list]], schema: str, key: str = "id") -> DataFrame:
+def on_blocks(terrain: Terrain, requests: DataFrame, window: dict[str, Column], kernel: Callable[[dict, R.Block], dict[str, list]], schema: str, key: str = "id", together: bool = False) -> DataFrame:
     """The rows that ``kernel`` makes of each request and the block of cells of its window.
 
     ``key`` tells requests apart; a window of more than ``MOST_CELLS`` cells is an error.
+    With ``together`` the requests whose windows begin in one tile share a block: for
+    kernels that read a few cells, whose tiles would be most of the work.  A tile's
+    requests are split in as many shares as ``TOGETHER`` goes into all of them.
     """
     asked = requests.withColumns({f"__w_{k}": v for k, v in window.items()})
+    plain = list(requests.columns)
+    if together:
+        tile = lambda v: F.floor(F.col(v) / TILE).alias(f"__t{v}")
+        own = F.struct(*(F.col(f"`{c}`") for c in plain))
+        ends = [f(c).alias(c) for f, c in ((F.min, "__w_row"), (F.min, "__w_col"), (F.max, "__w_row_end"), (F.max, "__w_col_end"))]
+        asked = asked.groupBy(tile("__w_row"), tile("__w_col"), F.pmod(F.xxhash64(key), F.lit(1 + requests.count() // TOGETHER)).alias("__share")).agg(F.collect_list(own).alias("__all"), *ends)
+    else:
+        asked = asked.withColumn("__all", F.array(F.struct(*(F.col(f"`{c}`") for c in plain))))
+    groups = ["__t__w_row", "__t__w_col", "__share"] if together else [key]
+    asked = asked.select(*groups, "__all", "__w_row", "__w_col", "__w_row_end", "__w_col_end")
     span = lambda a, b: F.sequence(F.floor(F.col(a) / TILE).cast("int"), F.floor(F.col(b) / TILE).cast("int"))
     keys = asked.withColumn("tile_r", F.explode(span("__w_row", "__w_row_end"))).withColumn("tile_c", F.explode(span("__w_col", "__w_col_end")))
-    joined = keys.join(terrain.tiles(), ["tile_r", "tile_c"], "left")
+    # the first tile of a window carries its requests
+    first = (F.col("tile_r") == F.floor(F.col("__w_row") / TILE)) & (F.col("tile_c") == F.floor(F.col("__w_col") / TILE))
+    joined = keys.withColumn("__all", F.when(first, F.col("__all"))).join(terrain.tiles(), ["tile_r", "tile_c"], "left")
     form, names = terrain.form, [f.split()[0] for f in schema.split(", ")]
     kinds = pa.schema([(n, arrow_type(t)) for n, t in (f.split(maxsplit=1) for f in schema.split(", "))])
-    plain = [c for c in requests.columns]
 
     def run(table: pa.Table) -> pa.Table:
-        first = table.slice(0, 1).to_pylist()[0]
-        row, col, rows, cols = first["__w_row"], first["__w_col"], first["__w_row_end"] - first["__w_row"] + 1, first["__w_col_end"] - first["__w_col"] + 1
+        row, col, row_end, col_end = (table.column(f"__w_{k}")[0].as_py() for k in ("row", "col", "row_end", "col_end"))
+        rows, cols = row_end - row + 1, col_end - col + 1
         if rows * cols > MOST_CELLS:
             raise ValueError(f"a window of {rows} x {cols} cells is more than {MOST_CELLS}")
         tiles = [t for t in zip(*(table.column(f).to_pylist() for f in _TILE_FIELDS), strict=True) if t[2] is not None]
-        made = kernel({c: first[c] for c in plain}, R.Block.from_tiles(tiles, row, col, rows, cols, form))
-        return pa.table({n: made[n] for n in names}, schema=kinds)
+        block = R.Block.from_tiles(tiles, row, col, rows, cols, form)
+        made = [kernel(q, block) for all_ in table.column("__all").to_pylist() for q in all_ or ()]
+        if len(made) == 1:
+            return pa.table({n: made[0][n] for n in names}, schema=kinds)
+        return pa.table({n: [v for m in made for v in m[n]] for n in names}, schema=kinds)
 
-    return joined.groupBy(key).applyInArrow(run, schema)
+    return joined.groupBy(*groups).applyInArrow(run, schema)
 
 
 def arrow_type(kind: str) -> pa.DataType:
