@@ -9,7 +9,8 @@ language, the score below which a prediction is rejected.
 Because everything up to the softmax is linear, a trained model is one table of
 ``2 ** BITS`` rows with a logit per language, and scoring adds table rows.
 
-Defined results: a text that is null or has no letter is ``und`` with score 0;
+Defined results: repeated rows get equal results and are learned from once; a
+text that is null or has no letter is ``und`` with score 0;
 ties go to the first language in code-point order; with no labelled row every
 text is ``und``; an empty table gives no rows.
 """
@@ -135,7 +136,8 @@ def fit(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 4.0,
     def features(i: int) -> tuple[np.ndarray, np.ndarray]:
         used, times = np.unique(codes[first[i] : first[i + 1]], return_counts=True)
         at = np.concatenate([np.arange(start[u], end[u]) for u in used])
-        return flat[at], np.repeat(times, end[used] - start[used]).astype(float)
+        names, inverse = np.unique(flat[at], return_inverse=True)
+        return names, np.bincount(inverse, np.repeat(times, end[used] - start[used]))
 
     held = {i: features(i) for i in keep}
     shuffled = rng.permutation(keep)
@@ -158,7 +160,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 4.0,
             out -= lr * 0.25 * (x.T @ g)
             bias -= lr * 0.05 * g.sum(0)
             for (k, _), w, gi in zip(f, weight, gx, strict=True):
-                np.add.at(emb, k, -lr * 8 * w[:, None] * gi)
+                emb[k] -= lr * 8 * w[:, None] * gi  # a text names a feature once
             step += 1
     model = LanguageModel(langs, emb @ out, bias, 1.0, np.zeros(len(langs)))
     if len(check):
@@ -185,12 +187,12 @@ def draw(rows: DataFrame, counts: dict, per_label: int, *key: str) -> DataFrame:
 
 
 def sample_labelled(rows: DataFrame, per_label: int, most_labels: int) -> pd.DataFrame:
-    """About ``per_label`` rows of (text, label) for each label, chosen by hash of the row, on the driver."""
+    """About ``per_label`` rows of (text, label) for each label, chosen by hash of the row, on the driver; a repeated row counts once."""
     counts = rows.groupBy("label").count()
     few = counts.limit(most_labels + 1).collect()
     if len(few) > most_labels:
         raise ValueError(f"more than {most_labels} labels")
-    got = draw(rows, {r[0]: r[1] for r in few}, per_label, "key", "text").select("key", "text", "label").toArrow().to_pandas()
+    got = draw(rows, {r[0]: r[1] for r in few}, per_label, "key", "text").select("key", "text", "label").distinct().toArrow().to_pandas()
     return got.sort_values(["label", "key", "text"], kind="stable").reset_index(drop=True)
 
 

@@ -87,11 +87,9 @@ def plan_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def with_times(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most_epochs: int = 3) -> DataFrame:
     """The rows with ``__tv_source_size``, ``__tv_target`` and ``__tv_times`` (how often the mix takes them)."""
-    spark = docs.sparkSession
     plan = stash(plan_sources(docs, id_col, text_col, source_col, weights, most_epochs), "mix-plan")
-    few = plan.limit(BROADCAST_SOURCES + 1).collect()
-    if len(few) <= BROADCAST_SOURCES:
-        plan = F.broadcast(spark.createDataFrame(few, plan.schema))
+    if plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
     plan = plan.select("__tv_source", F.col("source_size").alias("__tv_source_size"), F.col("target").alias("__tv_target"), F.col("epochs").alias("__tv_epochs"), F.col("cut_key").alias("__tv_cut"))
     times = F.col("__tv_epochs") + (F.col("__tv_key") <= F.col("__tv_cut")).cast("long")
     return docs.withColumns(_columns(id_col, text_col, source_col)).join(plan, "__tv_source").withColumn("__tv_times", times).drop("__tv_source", "__tv_key", "__tv_epochs", "__tv_cut")

@@ -12,7 +12,8 @@ Passages of one text are summed as they come, so a text of any length is scored
 whole in bounded memory.
 
 Defined results: a null text or one without words is scored by the bias alone;
-with no labelled row every score is 0.5; an empty table gives no rows.
+with no labelled row every score is 0.5; repeated rows get equal scores; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

@@ -362,7 +362,6 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry
 
     ``narrowest`` is the least interquartile range assumed, for languages of a few documents.
     """
-    spark = docs.sparkSession
     carry = docs.columns if carry is None else carry
     held = docs.withColumn("__tv_q_lang", F.coalesce(F.concat(F.lit("s"), F.col(f"`{lang_col}`")), F.lit("z")))
     scored = stash(score(held, train(docs.select(F.col(f"`{text_col}`").alias("text"))), text_col, [*carry, "__tv_q_lang"]), "rules")
@@ -371,9 +370,8 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry
     bands = scored.where(~failed).groupBy("__tv_q_lang").agg(q.alias("q"))
     wide = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(narrowest)) * reach
     bands = stash(bands.select("__tv_q_lang", (F.col("q")[0] - wide).alias("__tv_q_low"), (F.col("q")[1] + wide).alias("__tv_q_high")), "bands")
-    few = bands.limit(BAND_LANGUAGES + 1).collect()
-    if len(few) <= BAND_LANGUAGES:
-        bands = F.broadcast(spark.createDataFrame(few, bands.schema))
+    if bands.limit(BAND_LANGUAGES + 1).count() <= BAND_LANGUAGES:
+        bands = F.broadcast(bands)
     inside = F.coalesce(F.col("__tv_q_log_ppl").between(F.col("__tv_q_low"), F.col("__tv_q_high")), F.lit(True))
     rules = F.struct(*(F.col(f"__tv_q_{f}").alias(f) for f in BASE_FIELDS), failed.alias("base_failed"), F.col("__tv_q_log_ppl").alias("log_ppl"), (~failed & inside).alias("kept"))
     return scored.join(bands, "__tv_q_lang", "left").select(*(F.col(f"`{c}`") for c in carry), rules.alias("__tv_rules"))

@@ -38,14 +38,16 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where("doc_id is not null and label is not null")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where("doc_id is not null and label in (0, 1)")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     learn = labels.where(~fold)
     counts = {r[0]: r[1] for r in learn.groupBy("label").count().collect()}
     drawn = langid.draw(learn, counts, quality_mil.SAMPLE_PER_LABEL, "doc_id")
     # a bounded sample of the labels meets the documents, so it may be broadcast
-    few = spark.createDataFrame(drawn.select("doc_id", "label").collect(), drawn.select("doc_id", "label").schema)
-    rows = docs.join(F.broadcast(few), "doc_id").where("text is not null").toArrow().to_pandas().sort_values(["doc_id", "text"], kind="stable")
+    drawn = drawn.select("doc_id", "label").distinct()
+    few = spark.createDataFrame(drawn.collect(), drawn.schema)
+    # one text for each label drawn, however often an id is repeated
+    rows = docs.join(F.broadcast(few), "doc_id").where("text is not null").groupBy("doc_id", "label").agg(F.min("text").alias("text")).toArrow().to_pandas().sort_values(["doc_id", "text"], kind="stable")
     share = counts.get(1, 0) / (sum(counts.values()) or 1)
     model = quality_mil.fit(rows["text"].tolist(), rows["label"].tolist())
     # the sample is balanced; the scores go by the shares of the labels
