@@ -570,7 +570,11 @@ def test_urls_by_brute_force(spark):
     df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
     with pytest.raises(ValueError):
         url_filter.judge_urls(df, [url_filter.Rule("any", "block", ".*", ())])
-    for r in url_filter.judge_urls(df.drop("host"), queries.URL_RULES).collect():
+    assert url_filter.judge_urls(df.limit(0), queries.URL_RULES).count() == 0
+    twice = url_filter.judge_urls(df.union(df), queries.URL_RULES).groupBy("page_id").agg(F.countDistinct("__tv_url").alias("kinds"), F.count("*").alias("n")).collect()
+    assert all(r["kinds"] == 1 and r["n"] == 2 for r in twice)
+    for r in url_filter.judge_urls(df, queries.URL_RULES).collect():
+        assert r["host"] == "clash"
         u = urls[r["page_id"]]
         rest = u.split("://", 1)[1] if u and "://" in u else ""
         host = re.match("[^/?#]*", rest)[0].lower()
@@ -618,6 +622,28 @@ def brute_targets(size, weights=(5, 2, 1), most=3):
             free.remove(s)
 
 
+# --- the registered queries
+
+
+def test_registered_queries_by_brute_force(spark):
+    docs = {r["doc_id"]: r["text"] for r in queries.table(spark, SF, "documents").collect()}
+    got = {r["doc_id"]: r for r in queries.op2_secrets(spark, SF).collect()}
+    assert set(got) == set(docs)
+    for i, t in docs.items():
+        assert got[i]["base_sha256"] == hashlib.sha256(secret_scan.joined(brute_base(t)).encode()).hexdigest()
+    near = brute_near(list(docs.items()))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in queries.op4_minhash(spark, SF).collect()} == {i: (n, c, i == c) for i, (n, c) in near.items()}
+    rows = [(r["vec_id"], r["embedding"]) for r in queries.table(spark, SF, "embeddings").collect()]
+    links, root = brute_vectors(rows)
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        low[root[k]] = min(low.get(root[k], i), i)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in queries.op3_embeddings(spark, SF).collect()} == {i: (links[k], low[root[k]]) for k, (i, _) in enumerate(rows)}
+    for r in queries.op8_quality_rules(spark, SF).collect():
+        assert tuple(r[f] for f in quality_rules.BASE_FIELDS) == brute_base_counts(docs[r["doc_id"]])
+    assert all(r["round_trip"] for r in queries.op7_sentencepiece(spark, SF).collect())
+
+
 # --- the pipeline
 
 
