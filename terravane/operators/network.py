@@ -81,6 +81,7 @@ class Network:
     passes: dict[tuple[int, int], list[int]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        self._segments: np.ndarray | None = None
         self.at: dict[int, list[int]] = defaultdict(list)
         for e in self.edges.values():
             self.at[e.a].append(e.id)
@@ -89,18 +90,21 @@ class Network:
 
     def snap(self, n: float, e: float) -> tuple[int, float, float]:
         """(edge, share along it, distance) of the nearest point of the network; ties go to the first edge."""
-        best = (math.inf, -1, 0.0)
-        for edge in self.edges.values():
-            done, total = 0.0, edge.length or 1.0
-            for p, q in zip(edge.line, edge.line[1:], strict=False):
-                dn, de = q[0] - p[0], q[1] - p[1]
-                size = math.hypot(dn, de)
-                t = min(1.0, max(0.0, ((n - p[0]) * dn + (e - p[1]) * de) / (size * size))) if size else 0.0
-                d = math.hypot(n - p[0] - t * dn, e - p[1] - t * de)
-                if d < best[0]:
-                    best = (d, edge.id, min(1.0, (done + t * size) / total))
-                done += size
-        return best[1], best[2], best[0]
+        if self._segments is None:
+            rows = []
+            for edge in self.edges.values():
+                done = 0.0
+                for p, q in zip(edge.line, edge.line[1:], strict=False):
+                    size = math.dist(p[:2], q[:2])
+                    rows.append((edge.id, p[0], p[1], q[0] - p[0], q[1] - p[1], size, done, edge.length or 1.0))
+                    done += size
+            self._segments = np.array(rows).T
+        edge, pn, pe, dn, de, size, before, total = self._segments
+        with np.errstate(invalid="ignore", divide="ignore"):
+            t = np.where(size > 0, np.clip(((n - pn) * dn + (e - pe) * de) / (size * size), 0.0, 1.0), 0.0)
+        gap = np.hypot(n - pn - t * dn, e - pe - t * de)
+        k = int(gap.argmin())
+        return int(edge[k]), min(1.0, float((before[k] + t[k] * size[k]) / total[k])), float(gap[k])
 
     def search(self, start: tuple[int, float], goal: tuple[int, float], price: Callable[[int], float], free: Callable[[int, float, float], bool] = lambda *_: True, bound: float = math.inf) -> Found | None:
         """The least-cost route between two places (edge, share), leaving a node only by a listed passage.
