@@ -248,7 +248,8 @@ def unmask(terrain: Terrain, requests: DataFrame, step: float = 100.0) -> DataFr
 
     A request is (id, n, e, a, route: array of (n, e, a)), heights above ground.
     Samples lie every ``step`` metres and at the last point; one off the terrain
-    is passed over.
+    is passed over.  A sample is seen as ``visible`` sees it; from a site without
+    ground none is.
     """
     if not step > 0:
         raise ValueError("the step must be positive")
@@ -262,8 +263,7 @@ def unmask(terrain: Terrain, requests: DataFrame, step: float = 100.0) -> DataFr
             g = float(block.ground(np.array([n]), np.array([e]))[0])
             if math.isnan(g):
                 continue
-            floor = R.exact_floor(block, (q["n"], q["e"], eye), (n, e))
-            seen = bool(g + a >= max(floor, g))
+            seen = not math.isnan(eye) and R.exact_line(block, (q["n"], q["e"], eye), (n, e, g + a))[0]
             if run and out["visible"][-1] == seen:
                 out["samples"][-1] += 1
                 out["to_m"][-1] = along

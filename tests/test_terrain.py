@@ -148,6 +148,19 @@ def test_point_floor_agrees_with_visibility(spark, terrain):
 # --- mesh
 
 
+def test_routes_are_seen_as_their_samples_are(spark, terrain):
+    k = 47018  # its sample at 5500 m grazes the ground, 0.05 to 0.1 mm below it
+    n, e = 40000.0 + k * 7919 % 14000 + 7, 25000.0 + k * 104729 % 16000 + 13
+    route = [(n - 4000, e + 1500, 20.0), (n + 4500, e - 2500, 60.0)]
+    asked = spark.createDataFrame([(1, n, e, 15.0, route), (2, 100.0, 100.0, 15.0, route)], "id long, n double, e double, a double, route array<struct<n:double,e:double,a:double>>")
+    runs = sorted(sight.unmask(terrain, asked).collect(), key=lambda r: (r["id"], r["run"]))
+    at = sight.samples(route, 100.0)
+    lines = spark.createDataFrame([(i, n, e, 15.0, *p[1:]) for i, p in enumerate(at)], "id long, n1 double, e1 double, a1 double, n2 double, e2 double, a2 double")
+    want = {r["id"]: r["visible"] for r in sight.visible(terrain, lines).collect()}
+    assert [r["visible"] for r in runs if r["id"] == 1 for _ in range(r["samples"])] == [want[i] for i in range(len(at))]
+    assert [(r["visible"], r["samples"]) for r in runs if r["id"] == 2] == [(False, len(at))]
+
+
 def test_mesh_lines_by_sampling(spark):
     """A roof of four triangles with a higher-ranked strip across it, against heights sampled by hand."""
     corners = [(0.0, 0.0, 0.0), (0.0, 300.0, 30.0), (300.0, 300.0, 90.0), (300.0, 0.0, 60.0)]
